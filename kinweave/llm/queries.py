@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Each module's queries; all take (spark, sf_dir).
 OPERATORS = {
+    "op5_secrets": ("secrets", "op5_secrets"),
     "op6_mix": ("mixing", "op6_mix"),
+    "op8_quality": ("quality", "op8_quality"),
 }
 
 
