@@ -2,7 +2,8 @@
 
 A line fails when it is boilerplate (a fixed phrase, or an earlier line of the document again), navigation
 (many short items between separators, or a long row of links) or badly punctuated (too many symbols, or
-shouting: mostly capitals with exclamation marks, or one word over and over). Blank lines pass. A document is rejected when its base
+shouting: mostly capitals with exclamation marks) or hardly says anything (one word over and over, or
+words doubled all along). Blank lines pass. A document is rejected when its base
 counts fail, or when the failing lines hold more than ``max_lost`` of its words.
 
 Defined cases: a null or blank text has no words and fails the base rule (fewer than 10 words); repeated
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ class QualityRules:
     max_capitals: float = 0.7
     #: Share of a line's words that its commonest word may have, in lines of 10 or more words.
     max_one_word: float = 0.5
+    #: Share of a line's words that may equal the word before, in lines of 8 or more words.
+    max_doubled: float = 0.4
     #: Share of a document's words that the failing lines may hold.
     max_lost: float = 0.5
 
@@ -71,6 +75,8 @@ def line_verdict(line: bytes, words: list[bytes], rules: QualityRules) -> str:
             return "punctuation"
     if n >= 10 and max(map(words.count, words[:: max(1, n // 4)])) > rules.max_one_word * n:
         return "boilerplate"
+    if n >= 8 and sum(map(eq, words, words[1:])) > rules.max_doubled * n:
+        return "boilerplate"
     return ""
 
 

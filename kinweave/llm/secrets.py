@@ -46,7 +46,9 @@ ALLOWED = (
 
 def _at(matches: Column, gaps: Column) -> Column:
     """Array of (start, end, text) of matches that stand between gaps, in code points."""
-    step = F.transform(matches, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("size"), m.alias("text")))
+    step = F.filter(
+        F.zip_with(matches, gaps, lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size"), m.alias("text"))), lambda m: m["text"].isNotNull()
+    )
     spans = F.aggregate(
         step,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")),
@@ -91,7 +93,8 @@ def max_window_entropy(candidate: Column, window: int = WINDOW) -> Column:
         entropy = F.when(size >= window, F.log2(size) - total / size).otherwise(F.lit(0.0))
         return F.struct(counts.alias("counts"), total.alias("total"), size.alias("size"), F.greatest(state["most"], entropy).alias("most"))
 
-    items = F.transform(chars, lambda c, i: F.struct(c.alias("new"), F.when(i >= window, F.get(chars, i - window)).alias("old")))
+    # The one-element array binds the characters to a variable; named in the lambda itself they would be split again at each step.
+    items = F.get(F.transform(F.array(chars), lambda cs: F.transform(cs, lambda c, i: F.struct(c.alias("new"), F.when(i >= window, F.get(cs, i - window)).alias("old")))), 0)
     start = F.struct(F.create_map().cast("map<int,int>").alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("size"), F.lit(0.0).alias("most"))
     return F.aggregate(items, start, step)["most"]
 
