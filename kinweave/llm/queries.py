@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Each module's queries; all take (spark, sf_dir).
 OPERATORS = {
+    "op1_lines": ("line_dedup", "op1_lines"),
     "op2_licences": ("licences", "op2_licences"),
     "op5_secrets": ("secrets", "op5_secrets"),
     "op6_mix": ("mixing", "op6_mix"),
+    "op10_jaccard": ("jaccard_join", "op10_jaccard"),
     "op7_leaks": ("benchmark_leaks", "op7_leaks"),
     "op8_quality": ("quality", "op8_quality"),
 }
