@@ -17,6 +17,7 @@ OPERATORS = {
     "op10_jaccard": ("jaccard_join", "op10_jaccard"),
     "op7_leaks": ("benchmark_leaks", "op7_leaks"),
     "op8_quality": ("quality", "op8_quality"),
+    "op9_lm": ("class_model", "op9_lm"),
 }
 
 
