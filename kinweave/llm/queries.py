@@ -12,6 +12,7 @@ OPERATORS = {
     "op1_lines": ("line_dedup", "op1_lines"),
     "op2_licences": ("licences", "op2_licences"),
     "op3_suffix": ("suffix_dedup", "op3_suffix"),
+    "op4_html": ("html_extract", "op4_html"),
     "op5_secrets": ("secrets", "op5_secrets"),
     "op6_mix": ("mixing", "op6_mix"),
     "op10_jaccard": ("jaccard_join", "op10_jaccard"),
