@@ -134,7 +134,7 @@ def normalize_name(c: Column) -> Column:
     """The blocking text: letters outside A-Z are spaces, stop words go. A first character that is none leaves an empty first word."""
     words = F.split(F.regexp_replace(F.upper(clean_company_name(c)), r"[^A-Z\s]", " "), r"\s+")
     # Empty words at the end go, one at the front stays.
-    kept = F.filter(words, lambda w, i: (w != "") | ((i == 0) & (F.size(words) > 1)))
+    kept = F.filter(words, lambda w, i: (w != "") | (i == 0))
     kept = F.filter(kept, lambda w: ~w.isin(*STOP_WORDS))
     joined = F.when(F.forall(kept, lambda w: w == ""), "").otherwise(F.array_join(kept, " "))
     return F.coalesce(joined, F.lit(""))

@@ -45,7 +45,13 @@ def mapped(name: str, aliases: Mapping[str, str]) -> str:
 
 
 def place_words(name: str, titles: frozenset[str] = frozenset()) -> list[str]:
-    return [w for w in (x.strip(_CONTROLS) for x in _CUTS.split(name)) if w and w.upper() not in titles]
+    """The words without titles. As in Java, a separator right behind a dot's cut isn't one: it stays with the next word, and white space is trimmed there."""
+    parts, start, at = [], 0, 0
+    while at <= len(name) and (m := _CUTS.search(name, at)):
+        parts.append(name[start : m.start()])
+        start, at = m.end(), m.end() + (m.start() == m.end())
+    parts.append(name[start:])
+    return [w for w in (x.strip(_CONTROLS) for x in parts) if w and w.upper() not in titles]
 
 
 def initial_matches(a: str, b: str) -> bool:

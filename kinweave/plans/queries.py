@@ -79,7 +79,7 @@ def _name_words(x: str) -> str:
 def _normalized(x: str) -> str:
     parts = rf"string_split_regex(regexp_replace({_upper(_clean(x))}, '[^A-Z\s]', ' ', 'g'), '\s+')"
     stop = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
-    kept = f"list_filter(list_filter({parts}, lambda w, i: w <> '' OR (i = 1 AND len({parts}) > 1)), lambda w: w NOT IN ({stop}))"
+    kept = f"list_filter(list_filter({parts}, lambda w, i: w <> '' OR i = 1), lambda w: w NOT IN ({stop}))"
     return f"coalesce(CASE WHEN len(list_filter({kept}, lambda w: w <> '')) = 0 THEN '' ELSE array_to_string({kept}, ' ') END, '')"
 
 
@@ -122,7 +122,7 @@ _on_documents("plain_words", _joined(text.plain_words), rf"array_to_string({_spl
 _on_documents("legal_words", _joined(text.legal_words), _legal("text", True))
 _on_documents("legal_rule_words", _joined(lambda c: text.legal_words(c, False)), _legal("text", False))
 _on_documents("normalize_name", text.normalize_name, _normalized("text"))
-_on_documents("name_initials", text.initials_of, f"upper(array_to_string(list_transform({_name_words('text')}, lambda w: w[1]), ''))")
+_on_documents("name_initials", text.initials_of, _upper(f"array_to_string(list_transform({_name_words('text')}, lambda w: w[1]), '')"))
 _titles = ", ".join(f"'{t}'" for t in TITLES)
 _on_documents(
     "city_words", _joined(lambda c: text.city_words(c, list(TITLES))),
