@@ -116,10 +116,10 @@ def commonest(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.
         least = row.least
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rows = counts.where(F.col("n") >= least).toPandas()
-    words = rows["word"].to_numpy(dtype=np.int64).view(np.uint64)
+    rows = counts.where(F.col("n") >= least).toArrow()
+    words = rows["word"].to_numpy().view(np.uint64)
     order = np.argsort(words)
-    return words[order], rows["form"].to_numpy(dtype=np.int64)[order], rows["n"].to_numpy(dtype=np.int64)[order]
+    return words[order], rows["form"].to_numpy().astype(np.int64)[order], rows["n"].to_numpy()[order]
 
 
 @dataclass(frozen=True)
@@ -160,8 +160,8 @@ def unit_bigrams(training: DataFrame, units: Units) -> tuple[np.ndarray, np.ndar
             cut = at[k : k + 200_000]
             yield pa.RecordBatch.from_arrays([pa.array(cut, pa.int64()), pa.array(counts[cut], pa.int64())], names=["code", "n"])
 
-    rows = training.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    code, n = rows["code"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.int64)
+    rows = training.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    code, n = rows["code"].to_numpy(), rows["n"].to_numpy()
     order = np.argsort(code)
     return code[order] // units.size, code[order] % units.size, n[order]
 
