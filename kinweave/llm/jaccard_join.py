@@ -4,9 +4,10 @@ Sets are distinct word n-grams of the ASCII-lower-cased text, as 64-bit hashes;
 shingle. Two documents link when 100 * intersection >= percent * union; the result is the connected class.
 
 1. Equal sets become one set (128-bit sum hashes), however many documents have it.
-2. Shingles are ordered by a count sketch of SKETCH counters over all documents, rare ones first, then by
-   hash. A set is indexed under its prefix: two sets that link share a shingle of both prefixes, and at the
-   first shared one neither has too few shingles left (positional bound).
+2. Shingles are ordered by how rare their rarest word is, which bounds how rare they are, then by hash; word
+   counts come from a sketch of SKETCH counters over all documents. A set is indexed under its prefix,
+   long enough that two sets that link share NEED shingles of both prefixes, and at each of these neither
+   has too few shingles left (positional bound). Pairs with fewer shared ones are never looked at.
 3. Each index list names one of its sets, by a seeded hash, as pivot; the other sets are held against it.
    A set that links with a pivot keeps the difference to it (added, dropped). Two rounds with different
    seeds; lists whose sets are in one class by then are done. No set is held against all others of a list.
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from kinweave.llm.shared import arrow_map, connected, mix, ship_package, shingle_hashes, table, text_bytes, word_hashes, written
 
 #: Counters of the sketch that orders shingles; fixed, whatever the input.
-SKETCH = 1 << 16
+SKETCH = 1 << 19
+#: Shared prefix shingles of a candidate pair, less only for sets that have fewer.
+NEED = 3
 PIVOT_SEEDS = (11, 12)
 #: Sets of a cluster that one row of the answer step holds at most, about.
 CHUNK = 512
@@ -48,31 +51,49 @@ def shingle_set(text: bytes, n: int) -> np.ndarray:
 
 
 def prefix_length(size: int, percent: int) -> int:
-    return size - -(-percent * size // 100) + 1
+    """Two sets that link share min(NEED, least) shingles of both prefixes; least: what a partner must share at least."""
+    least = -(-percent * size // 100)
+    return size - least + min(NEED, least)
 
 
 def _id_text(documents: DataFrame) -> DataFrame:
     return documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
 
 
-def sketch_counts(documents: DataFrame, n: int) -> np.ndarray:
-    """How many (document, shingle) pairs fall on each counter, over all documents."""
+def word_sketch(documents: DataFrame) -> np.ndarray:
+    """How many words of all documents fall on each counter."""
     ship_package(documents.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, dtype=np.int64)
         for batch in batches:
             for text in text_bytes(batch.column("text")):
-                np.add.at(counts, (shingle_set(text, n) & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                np.add.at(counts, (word_hashes(text.lower()) & np.uint64(SKETCH - 1)).astype(np.int64), 1)
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["counter", "n"])
+        for k in range(0, len(at), 100_000):
+            cut = at[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.int32()), pa.array(counts[cut])], names=["counter", "n"])
 
-    rows = _id_text(documents).mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    rows = _id_text(documents).select("text").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SKETCH, dtype=np.int64)
     out[rows["counter"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
+def ranked_set(text: bytes, n: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes, and their places in the order rare to common."""
+    words = word_hashes(text.lower())
+    if not len(words):
+        return words, np.zeros(0, dtype=np.int64)
+    n = min(n, len(words))
+    tokens, at = np.unique(shingle_hashes(words, n), return_index=True)
+    rarity = counts[(words & np.uint64(SKETCH - 1)).astype(np.int64)]
+    rarest = rarity[: len(words) - n + 1]
+    for k in range(1, n):
+        rarest = np.minimum(rarest, rarity[k : k + len(rarest)])
+    return tokens, np.argsort(rarest[at], kind="stable")
+
+
 def _prefixes(documents: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(counts)
 
@@ -80,12 +101,11 @@ def _prefixes(documents: DataFrame, n: int, percent: int, counts: np.ndarray) ->
         order_by = shared.value
         sizes, first, second, prefixes = [], [], [], []
         for text in text_bytes(batch.column("text")):
-            tokens = shingle_set(text, n)
+            tokens, rank = ranked_set(text, n, order_by)
             sizes.append(len(tokens))
             first.append(mix(tokens).sum(dtype=np.uint64).astype(np.int64))
             second.append(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
-            rank = np.argsort(order_by[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")
-            prefixes.append(tokens[rank[: prefix_length(len(tokens), percent)]].view(np.int64) if len(tokens) else tokens.view(np.int64))
+            prefixes.append(tokens[rank[: prefix_length(len(tokens), percent)]].view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
             names=["doc_id", "n", "h1", "h2", "prefix"],
@@ -95,7 +115,7 @@ def _prefixes(documents: DataFrame, n: int, percent: int, counts: np.ndarray) ->
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(rep, tokens) of the wanted (rep, h1): texts are shuffled once, sets are made where they arrive."""
+    """(rep, tokens) of the wanted (rep, doc, h1): texts are shuffled once, sets are made where they arrive. A repeated row gives its set again, which only repeats answers."""
 
     def kernel(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for start in range(0, batch.num_rows, 256):
@@ -108,7 +128,7 @@ def _sets(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     texts = _id_text(documents)
     joined = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc"])).select("rep", "h1", "text")
-    return arrow_map(joined, kernel, "rep long, h1 long, tokens array<long>").dropDuplicates(["rep"]).select("rep", "tokens")
+    return arrow_map(joined, kernel, "rep long, h1 long, tokens array<long>").select("rep", "tokens")
 
 
 def _linked(common: Column, a: Column, b: Column, percent: int) -> Column:
@@ -116,15 +136,20 @@ def _linked(common: Column, a: Column, b: Column, percent: int) -> Column:
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
-    """Length and positional bounds of two entries with columns n and pos under the prefixes a and b."""
+    """Length and positional bounds of two entries with columns n and pos under the prefixes a and b; they hold at the first NEED shared shingles of sets that link."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    left = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
+    left = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos")) + (NEED - 1)
     return _linked(left, na, nb, percent) & (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
 
 
+def _needed(n: Column, percent: int) -> Column:
+    """Shared prefix shingles that a set of n needs with a partner, at least."""
+    return F.least(F.lit(NEED), F.ceil(n * percent / 100))
+
+
 def jaccard_classes(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
-    counts = sketch_counts(documents, n)
+    counts = word_sketch(documents)
     every = written(_prefixes(documents, n, percent, counts), "jaccard-prefixes")
     full = every.where("n > 0")
     # A set's rep is its smallest doc_id. Where that is null or names several sets, a negative hash tells them apart.
@@ -132,27 +157,31 @@ def jaccard_classes(documents: DataFrame, n: int = 3, percent: int = 90) -> Data
     first = F.col("doc").isNotNull() & (F.row_number().over(Window.partitionBy(F.coalesce("doc", "h1")).orderBy(F.col("doc").isNull(), "h1", "h2", "n")) == 1)
     reps = written(reps.withColumn("rep", F.when(first, F.col("doc")).otherwise(-F.abs(F.xxhash64("h1", "h2")))), "jaccard-sets")
     entries = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
-    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("token")
+    # Tables that are joined on a hot token are written first: both sides of the join are plain exchanges then, which Spark can split.
+    entries = written(entries, "jaccard-all")
+    lists = written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("token"), "jaccard-lists")
     entries = written(entries.join(lists, "token"), "jaccard-entries")
-    wanted = entries.select("rep").distinct().join(reps.select("rep", "doc", "h1"), "rep")
+    enough = entries.groupBy("rep").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= _needed(F.col("n"), percent)).select("rep")
+    wanted = enough.join(reps.select("rep", "doc", "h1"), "rep")
     sets = written(_sets(documents, wanted, n), "jaccard-tokens")
 
-    links, classes, tried = None, None, None
+    links, classes = None, None
     for seed in PIVOT_SEEDS:
-        classed = _with_class(entries, classes)
+        classed = written(_with_class(entries, classes), "jaccard-classed")
         pivot = F.struct(F.xxhash64(F.lit(seed), "rep").alias("draw"), "rep", "n", "pos", "class")
         open_lists = classed.groupBy("token").agg(F.min(pivot).alias("p"), F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("token", "p")
+        open_lists = written(open_lists, "jaccard-pivots")
         pairs = classed.alias("e").join(open_lists, "token").where((F.col("e.class") != F.col("p.class")) & _may_link("e", "p", percent))
-        pairs = pairs.select(F.col("e.rep").alias("x"), F.col("e.n").alias("nx"), F.col("p.rep").alias("p"), F.col("p.n").alias("np")).distinct()
+        pairs = pairs.select(F.col("e.rep").alias("x"), F.col("e.n").alias("nx"), F.col("p.rep").alias("p"), F.col("p.n").alias("np"))
+        pairs = pairs.groupBy("x", "nx", "p", "np").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= _needed(F.least("nx", "np"), percent)).drop("shared")
         with_x = pairs.join(sets.withColumnsRenamed({"rep": "x", "tokens": "tx"}), "x")
         both = with_x.join(sets.withColumnsRenamed({"rep": "p", "tokens": "tp"}), "p").withColumn("dropped", F.array_except("tp", "tx"))
         found = both.where(_linked(F.col("np") - F.size("dropped"), F.col("nx"), F.col("np"), percent))
         found = written(found.select("x", "nx", "p", F.array_except("tx", "tp").alias("added"), "dropped"), "jaccard-stars")
         links = found if links is None else links.unionByName(found)
-        tried = pairs.select("x", "p") if tried is None else tried
         classes = connected(documents.sparkSession, links.selectExpr("x as a", "p as b"), "jaccard-classes")
 
-    rest = _cross_pairs(_with_class(entries, classes), percent)
+    rest = _cross_pairs(written(_with_class(entries, classes), "jaccard-classed"), percent)
     answers = written(_answers(rest, links, sets, percent), "jaccard-answers")
     edges = links.selectExpr("x as a", "p as b").unionByName(answers)
     classes = connected(documents.sparkSession, edges, "jaccard-final")
@@ -174,6 +203,7 @@ def _with_class(entries: DataFrame, classes: DataFrame | None) -> DataFrame:
 def _cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """(x, nx, y, ny): pairs of different classes that a list and the bounds allow, by way of block pairs."""
     open_lists = entries.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("token")
+    open_lists = written(open_lists, "jaccard-open-lists")
     size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)))
     block = F.struct(size_class.alias("size_class"), F.floor(F.log2(F.col("pos") + 1)).alias("pos_class"))
     entries = written(entries.join(open_lists, "token").withColumn("block", block), "jaccard-open")
@@ -181,7 +211,7 @@ def _cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
         F.min("n").alias("n"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("left"), F.min("class").alias("c0"), F.max("class").alias("c1")
     )
     c = F.col
-    fits = _linked(F.least("a.left", "b.left"), c("a.n"), c("b.n"), percent) & (c("a.most") * 100 >= c("b.n") * percent) & (c("b.most") * 100 >= c("a.n") * percent)
+    fits = _linked(F.least("a.left", "b.left") + (NEED - 1), c("a.n"), c("b.n"), percent) & (c("a.most") * 100 >= c("b.n") * percent) & (c("b.most") * 100 >= c("a.n") * percent)
     one_class = (c("a.c0") == c("a.c1")) & (c("b.c0") == c("b.c1")) & (c("a.c0") == c("b.c0"))
     paired = blocks.alias("a").join(blocks.alias("b"), (c("a.token") == c("b.token")) & (c("a.block") <= c("b.block")) & fits & ~one_class)
     paired = paired.select(c("a.token").alias("token"), c("a.block").alias("block_a"), c("b.block").alias("block_b"))
@@ -192,10 +222,12 @@ def _cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
         (c("a.token") == c("b.token")) & (c("a.block_b") == c("b.block")) & (c("a.class") != c("b.class")) & ordered & _may_link("a", "b", percent),
     )
     swap = c("a.rep") > c("b.rep")
-    return both.select(
+    pairs = both.select(
         F.when(swap, c("b.rep")).otherwise(c("a.rep")).alias("x"), F.when(swap, c("b.n")).otherwise(c("a.n")).alias("nx"),
         F.when(swap, c("a.rep")).otherwise(c("b.rep")).alias("y"), F.when(swap, c("a.n")).otherwise(c("b.n")).alias("ny"),
-    ).distinct()
+    )
+    shared = pairs.groupBy("x", "nx", "y", "ny").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.where(F.col("shared") >= _needed(F.least("nx", "ny"), percent)).drop("shared")
 
 
 def _answers(pairs: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
