@@ -10,7 +10,8 @@ the candidate test needs that many and loses no match. The verification counts s
 The sketches are broadcast when there are at most BROADCAST_ROWS of them, which is checked; beyond that
 the document shingles are shuffled. Only SQL functions are used.
 
-Defined cases: null texts and texts under SHINGLE words have no shingles and match nothing; repeated rows
+Defined cases: null texts and texts under SHINGLE words have no shingles and match nothing, nor does a
+document without doc_id; repeated rows
 of a document count once, with the best containment; items with equal texts are both reported; empty
 tables give an empty result; other columns of either input are ignored.
 """
