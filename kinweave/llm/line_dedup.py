@@ -193,15 +193,17 @@ def line_removals(documents: DataFrame, max_edits: int = 1, min_chars: int = MIN
         return again.distinct(), sizes
 
     # Which of its four keys a line shares, and with what: as long (1), longer (2), shorter (4); the last half's times 8.
-    keys = distinct.select(
-        "h1", "h2", "size", "first",
-        F.explode(F.array(*[F.struct(F.col(k).alias("key"), F.lit(side).alias("side"), F.lit(less).alias("less")) for k, side, less in (("p0", 1, 0), ("p1", 1, 1), ("s0", 8, 0), ("s1", 8, 1))])).alias("k"),
-    ).select("h1", "h2", "size", "first", "k.*")
-    ends = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most"), F.sum("less").alias("n_long")).where("n > 1")
+    sides = (("p0", 1, 0), ("p1", 1, 1), ("s0", 8, 0), ("s1", 8, 1))
+    keys = distinct.select("h1", F.explode(F.array(*[F.struct(F.col(k).alias("key"), F.lit(side * 2 + less).alias("kind")) for k, side, less in sides])).alias("k")).select("h1", "k.*")
+    less = F.col("kind") % 2
+    ends = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(less).alias("n_long")).where("n > 1")
+    ends = written(ends, "line-shared-keys")
     n_short = F.col("n") - F.col("n_long")
-    bits = F.when(F.col("less") == 0, F.when(n_short > 1, 1).otherwise(0) + F.when(F.col("n_long") > 0, 2).otherwise(0)).otherwise(F.when(n_short > 0, 4).otherwise(0))
-    shared = keys.join(ends, "key").select("h1", "h2", "size", "first", (bits * F.col("side")).alias("bits")).where("bits > 0")
-    survivors = shared.groupBy("h1", "h2", "size", "first").agg(F.bit_or("bits").alias("flags"))
+    bits = F.when(less == 0, F.when(n_short > 1, 1).otherwise(0) + F.when(F.col("n_long") > 0, 2).otherwise(0)).otherwise(F.when(n_short > 0, 4).otherwise(0))
+    shared = keys.join(ends, "key").select("h1", (bits * F.floor(F.col("kind") / 2)).alias("bits")).where("bits > 0")
+    flags = shared.groupBy("h1").agg(F.bit_or("bits").alias("flags"))
+    # Two lines with the same first hash would share their flags, which only makes more variants.
+    survivors = distinct.join(flags, "h1").select("h1", "h2", "size", "first", "flags")
 
     def cut_out(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts, wanted = batch.column("text"), batch.column("wanted")
@@ -229,8 +231,8 @@ def line_removals(documents: DataFrame, max_edits: int = 1, min_chars: int = MIN
     variants = _emit_variants(survivors)
     variants = written(variants, "line-variants")
     # Two longer lines that share a variant need not be in reach of each other, so they are held against shorter ones alone.
-    firsts = variants.groupBy("variant").agg(*[F.min(F.when(F.col("kind") == kind, F.col("first"))).alias(name) for kind, name in enumerate(("same", "longer", "shorter"))])
-    firsts = firsts.withColumnRenamed("variant", "key")
+    firsts = variants.groupBy("variant").agg(*[F.min(F.when(F.col("kind") == kind, F.col("first"))).alias(name) for kind, name in enumerate(("same", "longer", "shorter"))], F.count(F.lit(1)).alias("n"))
+    firsts = written(firsts.where("n > 1").drop("n").withColumnRenamed("variant", "key"), "line-firsts")
     other = F.when(F.col("kind") == 0, F.col("same")).when(F.col("kind") == 1, F.col("shorter")).otherwise(F.col("longer"))
     pairs = variants.join(firsts, variants["variant"] == firsts["key"]).select("first", other.alias("earliest")).where("earliest < first").distinct()
     text_of = survivors.select(F.col("first").alias("at"), "content")
@@ -246,14 +248,16 @@ def line_removals(documents: DataFrame, max_edits: int = 1, min_chars: int = MIN
 def dedup_lines(documents: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, drop_emptied: bool = True) -> DataFrame:
     """The documents with all their columns, removed lines cut from the text; without those that lose all their words by it, unless told to keep them."""
     removals, _ = line_removals(documents, max_edits, min_chars)
-    gone = removals.groupBy(F.col("doc_id").alias("gone_id")).agg(F.sort_array(F.collect_list("line")).alias("gone_lines"))
-    joined = documents.join(gone, documents["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & gone["gone_lines"].isNotNull(), "left")
-    parts = F.split(F.col("text").cast("string"), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone_lines", i)), "\n")
-    text = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(kept)
+    gone = removals.groupBy(F.col("doc_id").alias("_line_dedup_id")).agg(F.sort_array(F.collect_list("line")).alias("_line_dedup_gone"))
+    joined = documents.join(gone, documents["doc_id"].cast("long").eqNullSafe(gone["_line_dedup_id"]) & gone["_line_dedup_gone"].isNotNull(), "left")
+    parts = F.col("_line_dedup_parts")
+    joined = joined.withColumn("_line_dedup_parts", F.when(F.col("_line_dedup_gone").isNotNull(), F.split(F.col("text").cast("string"), "\n", -1)))
+    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_line_dedup_gone"))
+    kept = F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n")
+    text = F.when(F.col("_line_dedup_gone").isNull(), F.col("text")).otherwise(kept)
     cut = joined.withColumn("text", text)
     if drop_emptied:
-        cut = cut.where(F.col("gone_lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+        cut = cut.where(F.col("_line_dedup_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return cut.select(*documents.columns)
 
 
