@@ -10,7 +10,8 @@ shingle. Two documents link when 100 * intersection >= percent * union; the resu
    has too few shingles left (positional bound). Pairs with fewer shared ones are never looked at.
 3. Each index list names one of its sets, by a seeded hash, as pivot; the other sets are held against it.
    A set that links with a pivot keeps the difference to it (added, dropped). Two rounds with different
-   seeds; lists whose sets are in one class by then are done. No set is held against all others of a list.
+   seeds, and in each a set tries the pivot that shares most of its prefix; lists whose sets are in one class
+   by then are done. No set is held against all others of a list.
 4. The remaining lists are cut into blocks by size class and position class. A pair of blocks is skipped as
    a whole when sizes, positions or classes rule it out; only blocks that survive are paired entry by entry.
 5. A pair (x, y) with x linked to pivot p is answered through p: the intersection of p and y is computed
@@ -157,8 +158,7 @@ def jaccard_classes(documents: DataFrame, n: int = 3, percent: int = 90) -> Data
     first = F.col("doc").isNotNull() & (F.row_number().over(Window.partitionBy(F.coalesce("doc", "h1")).orderBy(F.col("doc").isNull(), "h1", "h2", "n")) == 1)
     reps = written(reps.withColumn("rep", F.when(first, F.col("doc")).otherwise(-F.abs(F.xxhash64("h1", "h2")))), "jaccard-sets")
     entries = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
-    # Tables that are joined on a hot token are written first: both sides of the join are plain exchanges then, which Spark can split.
-    entries = written(entries, "jaccard-all")
+    # Aggregates that are joined on a hot token are written first: both sides of the join are plain exchanges then, which Spark can split.
     lists = written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("token"), "jaccard-lists")
     entries = written(entries.join(lists, "token"), "jaccard-entries")
     enough = entries.groupBy("rep").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= _needed(F.col("n"), percent)).select("rep")
@@ -167,13 +167,16 @@ def jaccard_classes(documents: DataFrame, n: int = 3, percent: int = 90) -> Data
 
     links, classes = None, None
     for seed in PIVOT_SEEDS:
-        classed = written(_with_class(entries, classes), "jaccard-classed")
+        classed = _with_class(entries, classes)
         pivot = F.struct(F.xxhash64(F.lit(seed), "rep").alias("draw"), "rep", "n", "pos", "class")
         open_lists = classed.groupBy("token").agg(F.min(pivot).alias("p"), F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("token", "p")
         open_lists = written(open_lists, "jaccard-pivots")
         pairs = classed.alias("e").join(open_lists, "token").where((F.col("e.class") != F.col("p.class")) & _may_link("e", "p", percent))
         pairs = pairs.select(F.col("e.rep").alias("x"), F.col("e.n").alias("nx"), F.col("p.rep").alias("p"), F.col("p.n").alias("np"))
-        pairs = pairs.groupBy("x", "nx", "p", "np").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= _needed(F.least("nx", "np"), percent)).drop("shared")
+        pairs = pairs.groupBy("x", "nx", "p", "np").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= _needed(F.least("nx", "np"), percent))
+        # Of its pivots a set tries the one that shares most; what that leaves open, the cross pairs settle.
+        nearest = pairs.groupBy("x", "nx").agg(F.max(F.struct("shared", F.xxhash64(F.lit(seed), "p").alias("draw"), "p", "np")).alias("to"))
+        pairs = nearest.select("x", "nx", "to.p", "to.np")
         with_x = pairs.join(sets.withColumnsRenamed({"rep": "x", "tokens": "tx"}), "x")
         both = with_x.join(sets.withColumnsRenamed({"rep": "p", "tokens": "tp"}), "p").withColumn("dropped", F.array_except("tp", "tx"))
         found = both.where(_linked(F.col("np") - F.size("dropped"), F.col("nx"), F.col("np"), percent))
@@ -181,7 +184,7 @@ def jaccard_classes(documents: DataFrame, n: int = 3, percent: int = 90) -> Data
         links = found if links is None else links.unionByName(found)
         classes = connected(documents.sparkSession, links.selectExpr("x as a", "p as b"), "jaccard-classes")
 
-    rest = _cross_pairs(written(_with_class(entries, classes), "jaccard-classed"), percent)
+    rest = _cross_pairs(_with_class(entries, classes), percent)
     answers = written(_answers(rest, links, sets, percent), "jaccard-answers")
     edges = links.selectExpr("x as a", "p as b").unionByName(answers)
     classes = connected(documents.sparkSession, edges, "jaccard-final")
@@ -197,7 +200,7 @@ def jaccard_classes(documents: DataFrame, n: int = 3, percent: int = 90) -> Data
 def _with_class(entries: DataFrame, classes: DataFrame | None) -> DataFrame:
     if classes is None:
         return entries.withColumn("class", F.col("rep"))
-    return entries.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select(*entries.columns, F.coalesce("component", "rep").alias("class"))
+    return written(entries.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select(*entries.columns, F.coalesce("component", "rep").alias("class")), "jaccard-classed")
 
 
 def _cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
