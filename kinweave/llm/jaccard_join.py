@@ -264,3 +264,26 @@ def one_of_each(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFram
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+ORACLE = {
+    "op10_jaccard": r"""
+    WITH RECURSIVE rows AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    words AS (SELECT r, unnest(w) AS w, unnest(range(len(w))) AS k FROM rows WHERE len(w) >= 3),
+    shingles AS (
+        SELECT DISTINCT r, s FROM (SELECT r, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS s FROM words WINDOW o AS (PARTITION BY r ORDER BY k)) WHERE s IS NOT NULL
+        UNION ALL SELECT r, array_to_string(w, ' ') FROM rows WHERE len(w) BETWEEN 1 AND 2),
+    sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+    sized AS (SELECT r, s, n FROM shingles JOIN sizes USING (r)),
+    links AS (
+        SELECT a.r AS a, b.r AS b FROM sized a JOIN sized b ON a.s = b.s AND a.r < b.r AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+        GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+    edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach(r, place) AS (SELECT r, r FROM rows UNION SELECT reach.r, edges.b FROM reach JOIN edges ON reach.place = edges.a)
+    SELECT rows.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other.doc_id) AS component_id
+    FROM reach JOIN rows USING (r) JOIN rows other ON other.r = reach.place LEFT JOIN sizes ON sizes.r = rows.r
+    GROUP BY rows.r, rows.doc_id
+    """,
+}
