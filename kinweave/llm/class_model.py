@@ -6,15 +6,21 @@ words to classes: P(word | previous) = P(class | previous word's class) * P(word
     P(b | a)    = (n(a, b) + PRIOR * P(b)) / (n(a) + PRIOR)      class transitions
     P(w | b)    = (c(w) + 1) / (c(b) + v(b) + 1)                 word emissions, one share for unseen words
 
-where v(b) is the number of distinct words of the class. The units that the exchange moves are the HEAD_WORDS
-commonest words, each by itself, and all other words by their ending (FORMS groups), so that every word
-of the corpus has a class and an unseen one does, too. The unit bigrams are counted over all training
-documents; their table has (HEAD_WORDS + FORMS + 1) ** 2 entries at most whatever the corpus, and only that
-table is clustered on the driver.
+where v(b) is the number of distinct words of the class. The classes are found in two steps:
 
-Counts of the LOOKUP commonest words are sent to the workers (a fixed size); the other words of a document
-are joined with the full table of counts. So the three passes over the texts need no shuffle of tokens
-but of those, once per document and word.
+1. Seed: the HEAD_WORDS commonest words, each by itself, and all other words by their ending (FORMS groups) are
+   clustered on the driver by exchange over their bigrams, which gives the first classes and their transitions.
+2. Every other word with MIN_COUNT training tokens or more is moved by itself: the workers count its own bigrams
+   with the classes before and after it, these are summed per word, and it takes the class under which its own
+   tokens are likeliest, the class tables held fixed meanwhile. Transitions and emissions are then counted
+   again over all training documents with the classes that came out.
+
+The number of classes grows with these words (class_count). Only rarer words, whose few tokens say little, and
+unseen ones have the class of their ending.
+
+A hash and a class of each word that has its own class are sent to the workers, 10 bytes a word, and so are
+the counts of the LOOKUP commonest words (a fixed size); the other words of a document are joined with the
+full table of counts.
 
 Defined cases: a null or empty text has one token, its end; a null doc_id is a training document; repeated
 rows count and are scored each for itself; without training documents all counts are 0 and the scores
@@ -37,7 +43,10 @@ from kinweave.llm.shared import arrow_map, prefix_sums, ship_package, substring_
 
 HEAD_WORDS = 1024
 FORMS = 512
+#: Classes at least; their number grows with the words that have their own.
 CLASSES = 64
+#: Training tokens from which a word has a class by its own bigrams; of 2, 3, 5 and 10 the best on held-out documents.
+MIN_COUNT = 2
 LOOKUP = 1 << 18
 PRIOR = 20.0
 SWEEPS = 8
@@ -166,6 +175,121 @@ def unit_bigrams(training: DataFrame, units: Units) -> tuple[np.ndarray, np.ndar
     return code[order] // units.size, code[order] % units.size, n[order]
 
 
+def class_count(n_words: int) -> int:
+    """Classes for so many words with their own: the cube root, so that the table of transitions grows slower than the words."""
+    return max(CLASSES, math.ceil(2 * n_words ** (1 / 3)))
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Words that have a class by themselves, in order of their hash; any other token has the class of its unit."""
+
+    words: np.ndarray
+    classes: np.ndarray
+    units: Units
+    unit_classes: np.ndarray
+
+    def find(self, hashes: np.ndarray, form: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the words or -1, class) of each token; equal tokens are looked up once."""
+        if not len(hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        each, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        classes = self.unit_classes[self.units.of(each, form[first])].astype(np.int64)
+        place = np.full(len(each), -1, dtype=np.int64)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, each), len(self.words) - 1)
+            own = (self.words[at] == each) & (form[first] >= 0)
+            place = np.where(own, at, -1)
+            classes = np.where(own, self.classes[at], classes)
+        return place[back], classes[back]
+
+
+def own_words(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, form, n) of all words with ``least`` tokens or more, in order of their hash."""
+    rows = counts.where(F.col("n") >= least).where("form >= 0").selectExpr("word", "cast(form as smallint) form", "n").toArrow()
+    words = rows["word"].to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    return words[order], rows["form"].to_numpy()[order], rows["n"].to_numpy()[order]
+
+
+def moved_words(training: DataFrame, lexicon: Lexicon, transitions: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """The class of each word of the lexicon under which its own tokens are likeliest; a head word keeps its class.
+
+    Distributed: a worker counts (word, class before or after), equal ones are summed, and all of a word's come to one row.
+    """
+    ship_package(training.sparkSession)
+    classes = len(spread)
+    context = training.sparkSession.sparkContext
+    shared = context.broadcast(lexicon)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, parts, size = shared.value, [], 0
+        head = np.isin(lexicon.words, lexicon.units.words)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            codes, n = np.unique(np.concatenate(parts), return_counts=True)
+            for k in range(0, len(codes), 200_000):
+                cut = codes[k : k + 200_000]
+                columns = [pa.array((cut // (2 * classes)).astype(np.int32)), pa.array((cut % (2 * classes)).astype(np.int32)), pa.array(n[k : k + 200_000], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["place", "side", "n"])
+
+        for batch in batches:
+            for texts in _blobs(batch.column("text")):
+                hashes, form, _ = tokens_of(texts, lexicon.units.forms)
+                place, of = lexicon.find(hashes, form)
+                at = np.flatnonzero(place >= 0)
+                at = at[~head[place[at]]]
+                # An own word is never the last token, which is an end; before the first one stands an end, of class 0.
+                base = place[at] * (2 * classes)
+                parts += [base + np.where(at > 0, of[at - 1], 0), base + classes + of[at + 1]]
+                size += 2 * len(at)
+                if size > 2 * _FLUSH:
+                    yield from flush()
+                    parts, size = [], 0
+        if size:
+            yield from flush()
+
+    # log10 of a token's part by class: before a class, after one, and the class's own emission, which one side pays.
+    weight = context.broadcast(np.concatenate((transitions - spread, transitions.T)))
+
+    def choose(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for start in range(0, batch.num_rows, 1000):
+            rows = batch.slice(start, 1000)
+            sides = rows.column("sides")
+            of, flat = np.repeat(np.arange(len(rows)), sides.value_lengths().to_numpy()), sides.flatten()
+            codes = of * (2 * classes) + flat.field("side").to_numpy()
+            own = np.bincount(codes, flat.field("n").to_numpy(), len(rows) * 2 * classes).reshape(len(rows), 2 * classes)
+            likely = own @ weight.value
+            likely[:, 0] = -np.inf
+            yield pa.RecordBatch.from_arrays([rows.column("place"), pa.array(likely.argmax(1), pa.int16())], names=["place", "class"])
+
+    pairs = training.select("text").mapInArrow(count, "place int, side int, n long").repartition("place").groupBy("place", "side").agg(F.sum("n").alias("n"))
+    per_word = pairs.groupBy("place").agg(F.collect_list(F.struct("side", "n")).alias("sides"))
+    rows = arrow_map(per_word, choose, "place int, class smallint").toArrow()
+    out = lexicon.classes.copy()
+    out[rows["place"].to_numpy()] = rows["class"].to_numpy()
+    return out
+
+
+def class_bigrams(training: DataFrame, lexicon: Lexicon, classes: int) -> np.ndarray:
+    """Counts of (class, class after it) over all training documents."""
+    ship_package(training.sparkSession)
+    shared = training.sparkSession.sparkContext.broadcast(lexicon)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, counts = shared.value, np.zeros(classes * classes, dtype=np.int64)
+        for batch in batches:
+            for texts in _blobs(batch.column("text")):
+                hashes, form, _ = tokens_of(texts, lexicon.units.forms)
+                _, of = lexicon.find(hashes, form)
+                counts += np.bincount(np.concatenate(([0], of[:-1])) * classes + of, minlength=classes * classes)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["code", "n"])
+
+    rows = training.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    return np.bincount(rows["code"].to_numpy(), rows["n"].to_numpy(), classes * classes).reshape(classes, classes)
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
@@ -230,9 +354,7 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, size: int, clas
 
 @dataclass(frozen=True)
 class ClassModel:
-    units: Units
-    #: Class of each unit.
-    classes: np.ndarray
+    lexicon: Lexicon
     #: log10 P(b | a).
     transitions: np.ndarray
     #: log10 (c(b) + v(b) + 1).
@@ -243,10 +365,19 @@ class ClassModel:
     n_tokens: int
     n_words: int
 
+    @property
+    def units(self) -> Units:
+        return self.lexicon.units
+
+    @property
+    def classes(self) -> np.ndarray:
+        """Class of each unit."""
+        return self.lexicon.unit_classes
+
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """Per text: tokens, known tokens and sum of log10(c + 1) among the commonest words, and class part of the score; then (text, word, times) of the other words."""
         hashes, form, of = tokens_of(texts, self.units.forms)
-        classes = self.classes[self.units.of(hashes, form)]
+        _, classes = self.lexicon.find(hashes, form)
         part = self.transitions[np.concatenate(([0], classes[:-1])), classes] - self.spread[classes]
         if len(self.words):
             at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
@@ -266,13 +397,21 @@ class ClassModel:
         )
 
 
-def train(training: DataFrame, counts: DataFrame, head_words: int = HEAD_WORDS, classes: int = CLASSES, lookup: int = LOOKUP) -> ClassModel:
-    """Fit the model to all rows of (text); counts: word_counts() of them, written."""
+def _log_tables(table: np.ndarray, class_n: np.ndarray, class_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the transitions, and log10 (c(b) + v(b) + 1)."""
+    prior = (class_n + 1) / (class_n.sum() + len(class_n))
+    return np.log10((table + PRIOR * prior) / (table.sum(1, keepdims=True) + PRIOR)), np.log10(class_n + class_words + 1)
+
+
+def train(training: DataFrame, counts: DataFrame, head_words: int = HEAD_WORDS, classes: int | None = None, lookup: int = LOOKUP, min_count: int = MIN_COUNT) -> ClassModel:
+    """Fit the model to all rows of (text); counts: word_counts() of them, written. classes: class_count() of the own words by default."""
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("words")).first()
     words, form, n = commonest(counts, lookup)
     plain = np.flatnonzero(form >= 0)
     head = np.sort(plain[np.lexsort((words[plain], -n[plain]))][:head_words])
     units = Units(words[head], FORMS)
+    own, own_form, own_n = own_words(counts, min_count)
+    classes = classes or class_count(len(own))
     left, right, pairs = unit_bigrams(training, units)
     of = exchange(left, right, pairs, units.size, classes)
     per_form = counts.where("form >= 0").groupBy("form").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
@@ -285,18 +424,25 @@ def train(training: DataFrame, counts: DataFrame, head_words: int = HEAD_WORDS,
     unit_n[0], unit_words[0] = totals.tokens - unit_n.sum(), totals.tokens > 0
     class_n, class_words = np.bincount(of, unit_n, classes), np.bincount(of, unit_words, classes)
     table = np.bincount(of[left] * classes + of[right], pairs, classes * classes).reshape(classes, classes)
-    prior = (class_n + 1) / (class_n.sum() + classes)
-    transitions = np.log10((table + PRIOR * prior) / (table.sum(1, keepdims=True) + PRIOR))
-    return ClassModel(units, of, transitions, np.log10(class_n + class_words + 1), words, n, int(totals.tokens), int(totals.words))
-
-
-def score_texts(documents: DataFrame, head_words: int = HEAD_WORDS, classes: int = CLASSES, lookup: int = LOOKUP) -> DataFrame:
+    transitions, spread = _log_tables(table, class_n, class_words)
+    seed = of[units.of(own, own_form.astype(np.int64))]
+    lexicon = Lexicon(own, seed.astype(np.int16), units, of)
+    if len(own):
+        moved = moved_words(training, lexicon, transitions, spread)
+        lexicon = Lexicon(own, moved, units, of)
+        class_n += np.bincount(moved, own_n, classes) - np.bincount(seed, own_n, classes)
+        class_words += np.bincount(moved, minlength=classes) - np.bincount(seed, minlength=classes)
+        transitions, spread = _log_tables(class_bigrams(training, lexicon, classes), class_n, class_words)
+    return ClassModel(lexicon, transitions, spread, words, n, int(totals.tokens), int(totals.words))
+
+
+def score_texts(documents: DataFrame, head_words: int = HEAD_WORDS, classes: int | None = None, lookup: int = LOOKUP, min_count: int = MIN_COUNT) -> DataFrame:
     """Train on the documents that are not held out and score all: see op9_lm's columns, and perplexity."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     training = texts.where("not held_out").select("text")
     counts = written(word_counts(training), "lm-counts")
-    model = train(training, counts, head_words, classes, lookup)
+    model = train(training, counts, head_words, classes, lookup, min_count)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     tail_type = pa.list_(pa.struct([("word", pa.int64()), ("times", pa.int64())]))
 

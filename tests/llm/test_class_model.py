@@ -8,7 +8,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from kinweave.llm.class_model import exchange, score_texts, tokens_of, train, word_counts
+from kinweave.llm.class_model import class_count, exchange, score_texts, tokens_of, train, word_counts
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -64,6 +64,28 @@ def test_probabilities_sum_to_one(spark):
         assert math.isclose(mass, 1)
 
 
+def test_words_outside_the_head_are_classed_by_their_own_bigrams(spark):
+    # All end alike, so by their ending the ten rare words would share one class and both orders one score.
+    rng = np.random.default_rng(5)
+    word = lambda kind: f"{kind}{rng.integers(3) if rng.random() < 0.8 else rng.integers(3, 8)}xyz"
+    rows = [(i, " ".join(word("ab"[k % 2]) for k in range(40))) for i in range(100)]
+    rows += [(1000, "a5xyz b5xyz a6xyz b6xyz"), (1001, "a5xyz a6xyz b5xyz b6xyz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in score_texts(df, head_words=6, classes=4).collect()}
+    assert scores[1000] > scores[1001] + 1
+    training = df.where("doc_id < 1000").select("text")
+    counts = word_counts(training)
+    model = train(training, counts, head_words=6, classes=4)
+    rows = counts.toPandas()
+    _, classes = model.lexicon.find(rows["word"].to_numpy(np.int64).view(np.uint64), rows["form"].to_numpy(np.int64))
+    for c in range(4):
+        assert math.isclose(((rows["n"].to_numpy()[classes == c] + 1).sum() + 1) / 10 ** model.spread[c], 1)
+
+
+def test_classes_grow_with_the_words():
+    assert class_count(100) == 64 and class_count(1_000_000) == 200
+
+
 def test_exchange_separates_alternating_units():
     # Units 1-4 are followed by 5-8 only, and the other way round.
     rng = np.random.default_rng(3)
