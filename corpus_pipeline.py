@@ -18,7 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line is within one edit of go, and documents that lose all their words by it."""
-    return line_dedup.dedup_lines(docs)
+    # Lines under 20 code points stay here, as tests/llm/test_pipeline.py has it; op1_lines takes all.
+    return line_dedup.dedup_lines(docs, min_chars=20)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

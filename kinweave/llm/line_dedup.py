@@ -1,9 +1,10 @@
 """Line dedup: a deletion-neighbourhood join of lines within one edit, keeping the earliest.
 
 Lines are the \\n-split parts of a text without white space at both ends; lines of fewer than ``min_chars``
-code points are left alone. A line is removed when an earlier line, by (doc_id, line number), equals it or
-lies within ``max_edits`` (0 or 1) insertions, deletions or substitutions of a code point. All is judged
-on the input, so of a chain a, b, c with a-b and b-c in reach only a stays.
+code points, by default the blank ones, are left alone. A line is removed when an earlier line, by (doc_id,
+line number), equals it or, where both have ``near_chars`` code points or more, lies within ``max_edits``
+(0 or 1) insertions, deletions or substitutions of a code point. All is judged on the input, so of a chain
+a, b, c with a-b and b-c in reach only a stays.
 
 1. Every line gets a 128-bit hash; equal lines are brought together and only the earliest goes on.
 2. Two lines in reach share their first or their last half, cut at the shorter one's length. Each line
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.shared import arrow_map, mix, powers, table, text_bytes, written
 
-MIN_CHARS = 20
+MIN_CHARS = 1
+#: From here on lines one edit apart are joined; in shorter ones an edit makes another word or number ("cat", "car").
+NEAR_CHARS = 6
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _INVERSES = tuple(pow(base, -1, 2**64) for base in _BASES)
 #: Rows of one Arrow batch that the kernels give out at most.
@@ -85,7 +88,7 @@ def _line_rows(texts: list[bytes], min_chars: int) -> dict[str, np.ndarray]:
         codes = _codes(text)
         starts, ends = line_bounds(codes)
         n_lines = len(starts)
-        lines = np.flatnonzero(ends - starts >= min_chars)
+        lines = np.flatnonzero(ends - starts >= max(1, min_chars))
         starts, ends = starts[lines], ends[lines]
         size, one, two = ends - starts, _Hasher(codes, 0), _Hasher(codes, 1)
         cut0, cut1 = size // 2, (size - 1) // 2
@@ -179,7 +182,7 @@ def _emit_variants(survivors: DataFrame) -> DataFrame:
     return arrow_map(survivors.select("content", "flags", "first"), kernel, f"variant long, kind tinyint, first {_PLACE}")
 
 
-def line_removals(documents: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+def line_removals(documents: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, line) of every line to remove, and (doc_id, n_lines) of every document."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits: 0 or 1")
@@ -194,7 +197,7 @@ def line_removals(documents: DataFrame, max_edits: int = 1, min_chars: int = MIN
 
     # Which of its four keys a line shares, and with what: as long (1), longer (2), shorter (4); the last half's times 8.
     sides = (("p0", 1, 0), ("p1", 1, 1), ("s0", 8, 0), ("s1", 8, 1))
-    keys = distinct.select("h1", F.explode(F.array(*[F.struct(F.col(k).alias("key"), F.lit(side * 2 + less).alias("kind")) for k, side, less in sides])).alias("k")).select("h1", "k.*")
+    keys = distinct.where(F.col("size") >= near_chars).select("h1", F.explode(F.array(*[F.struct(F.col(k).alias("key"), F.lit(side * 2 + less).alias("kind")) for k, side, less in sides])).alias("k")).select("h1", "k.*")
     less = F.col("kind") % 2
     ends = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(less).alias("n_long")).where("n > 1")
     ends = written(ends, "line-shared-keys")
@@ -245,9 +248,9 @@ def line_removals(documents: DataFrame, max_edits: int = 1, min_chars: int = MIN
     return written(again.unionByName(verified).distinct(), "line-removals"), sizes
 
 
-def dedup_lines(documents: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, drop_emptied: bool = True) -> DataFrame:
+def dedup_lines(documents: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, drop_emptied: bool = True, near_chars: int = NEAR_CHARS) -> DataFrame:
     """The documents with all their columns, removed lines cut from the text; without those that lose all their words by it, unless told to keep them."""
-    removals, _ = line_removals(documents, max_edits, min_chars)
+    removals, _ = line_removals(documents, max_edits, min_chars, near_chars)
     gone = removals.groupBy(F.col("doc_id").alias("_line_dedup_id")).agg(F.sort_array(F.collect_list("line")).alias("_line_dedup_gone"))
     joined = documents.join(gone, documents["doc_id"].cast("long").eqNullSafe(gone["_line_dedup_id"]) & gone["_line_dedup_gone"].isNotNull(), "left")
     parts = F.col("_line_dedup_parts")

@@ -63,6 +63,12 @@ def test_documents_keep_columns_and_lose_lines(spark):
     assert out[2].text == "new and different content" and out[2].line == 2 and out[4].text is None
 
 
+def test_short_lines_lose_exact_copies_by_default(spark):
+    rows = [(1, "Ietzte.\ncat\n\n7\nStteen Erachtz."), (2, "Ietzte.\ncar\n\n7\nStteen Erachtz.\nStteen Erachtx."), (3, "cat\n8\nIetzte!")]
+    removals, _ = line_removals(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.line) for r in removals.collect()} == {(2, 0), (2, 3), (2, 4), (2, 5), (3, 0), (3, 2)}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     removals, sizes = line_removals(df)
