@@ -6,6 +6,8 @@ of identifiers, other sentences left out, is matched against ordered rules: at e
 of RULES whose identifiers stand there in a row names a licence and uses them up; identifiers that fit
 no rule are left over.
 
+Sentences end at a full stop or blank line. Their parts between semicolons and colons are looked up, too, and
+parts in a row that are none by themselves together, so that a sentence with such marks in it is found whole.
 A line that is a known sentence by itself counts even where the line before lacks its full stop; other
 sentences may run over line ends.
 
@@ -87,7 +89,10 @@ RULES = (
 CUES = re.compile(rb"(?i)licen[sc]e|permission is|redistribut|software is|no event shall|free software|program is|gpl|bsd|public domain|received a copy|copyright|rights reserved|creative commons|cc0")
 
 _COMPILED = tuple((re.compile(pattern), name) for pattern, name in SENTENCES)
-_END = re.compile(r"[.!?;:](?=\s|$)|\n[ \t]*\n")
+#: What any known sentence is at its start.
+_ANY = re.compile("|".join(f"(?:{pattern})" for pattern, _ in SENTENCES))
+_END = re.compile(r"[.!?](?=\s|$)|\n[ \t]*\n")
+_PART = re.compile(r"[;:](?=\s|$)")
 _MARKS = re.compile(r"^[ \t]*(?:/{2,}|/?\*+/?|#+|--|;;)[ \t]?", re.MULTILINE)
 _NOT_WORD = re.compile(r"[^a-z0-9]+")
 
@@ -96,32 +101,56 @@ def normalised(sentence: str) -> str:
     return _NOT_WORD.sub(" ", sentence.lower()).strip()
 
 
+def _lookup(plain: str, start: int, end: int) -> str | None:
+    return next((name for pattern, name in _COMPILED if pattern.fullmatch(plain, start, end)), None)
+
+
 def sentence_id(sentence: str) -> str | None:
     """The identifier of a sentence, None if it is not a known one."""
     plain = normalised(sentence)
-    if len(plain) < 12:
-        return None
-    return next((name for pattern, name in _COMPILED if pattern.fullmatch(plain)), None)
+    return _lookup(plain, 0, len(plain)) if _ANY.fullmatch(plain) else None
+
+
+def _cut(text: str, ends: re.Pattern, start: int, end: int) -> list[tuple[int, int]]:
+    cuts = sorted({start, end, *(m.end() for m in ends.finditer(text, start, end))})
+    return list(zip(cuts, cuts[1:]))
+
+
+def _sentence_parts(plain: str, parts: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(identifier, start, end) of what is known in one sentence: a part, several unknown parts in a row, or a line."""
+    words = [normalised(plain[start:end]) for start, end in parts]
+    names = [_lookup(w, 0, len(w)) if _ANY.fullmatch(w) else None for w in words]
+    joined, ends = " ".join(w for w in words if w), []
+    for w in words:
+        last = ends[-1] if ends else 0
+        ends.append(last + len(w) + (last > 0) if w else last)
+    at = 0
+    while at < len(parts):
+        start, end = parts[at]
+        upto, name = at + 1, names[at]
+        # A run of parts can be known only if a known sentence starts here.
+        if not name and len(parts) > 1 and words[at] and _ANY.match(joined, ends[at] - len(words[at])):
+            while not name and upto < len(parts) and not names[upto]:
+                upto += 1
+                name = _lookup(joined, ends[at] - len(words[at]), ends[upto - 1])
+        if name:
+            yield name, start, parts[upto - 1][1]
+            at = upto
+            continue
+        piece = plain[start:end]
+        if "\n" in piece.strip():
+            for line in piece.split("\n"):
+                if name := sentence_id(line):
+                    yield name, start, start + len(line)
+                start += len(line) + 1
+        at += 1
 
 
 def known_sentences(text: str) -> list[tuple[str, int, int]]:
     """(identifier, start, end) of the known sentences of a text, in order."""
     blank = lambda m: " " * len(m[0])
     plain = _MARKS.sub(blank, text)
-    cuts = sorted({0, len(plain), *(m.end() for m in _END.finditer(plain))})
-    out = []
-    for start, end in zip(cuts, cuts[1:]):
-        piece = plain[start:end]
-        if not CUES.search(piece.encode("utf-8", "ignore")):
-            continue
-        if name := sentence_id(piece):
-            out.append((name, start, end))
-            continue
-        at = start
-        for line in piece.split("\n"):
-            if name := sentence_id(line):
-                out.append((name, at, at + len(line)))
-            at += len(line) + 1
+    out = [known for start, end in _cut(plain, _END, 0, len(plain)) for known in _sentence_parts(plain, _cut(plain, _PART, start, end))]
     return [(name, start + len(plain[start:end]) - len(plain[start:end].lstrip()), start + len(plain[start:end].rstrip())) for name, start, end in out]
 
 

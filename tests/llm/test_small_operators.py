@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm import secrets
 from kinweave.llm.benchmark_leaks import find_leaks, without_leaks
-from kinweave.llm.licences import match_rules, op2_licences, scan_licences
+from kinweave.llm.licences import known_sentences, match_rules, op2_licences, scan_licences
 from kinweave.llm.mixing import mix_sources
 from kinweave.llm.quality import keep_good, op8_quality
 from kinweave.llm.secrets import op5_secrets
@@ -151,6 +151,32 @@ def test_licences(spark, tmp_path):
     assert scan_licences(df.limit(0)).count() == 0
 
 
+GPL = """    This program is free software{0} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{1} either version {2} of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program{3}"""
+
+
+def test_official_gpl_headers():
+    headers = {
+        2: GPL.format(";", ";", 2, "; if not, write to the Free Software\n    Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."),
+        3: GPL.format(":", ",", 3, ".  If not, see <https://www.gnu.org/licenses/>."),
+    }
+    for version, header in headers.items():
+        for text in (header, "/*\n" + "\n".join(" *" + line for line in header.split("\n")) + "\n */\nint main;", "Some words; and more: yes.\n\n" + header):
+            names = [name for name, _, _ in known_sentences(text)]
+            assert names == [f"gpl-{version}-or-later", "gpl-no-warranty", "gpl-see", "gpl-received"]
+            assert match_rules(names) == [(f"GPL-{version}.0-or-later", 0, 4)]
+
+
 def test_rules_are_ordered():
     grant = ["apache-2.0-grant", "apache-compliance", "apache-copy-at", "apache-as-is", "apache-see"]
     assert match_rules(["mit-notice", *grant, "mit-grant"]) == [("Apache-2.0", 1, 6), ("MIT", 6, 7)]
