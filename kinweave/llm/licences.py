@@ -85,9 +85,6 @@ RULES = (
     ("Public-Domain", ("public-domain",)),
     ("Proprietary", ("all-rights-reserved",)),
 )
-#: Every known sentence has one of these; texts without are not cut up.
-CUES = re.compile(rb"(?i)licen[sc]e|permission is|redistribut|software is|no event shall|free software|program is|gpl|bsd|public domain|received a copy|copyright|rights reserved|creative commons|cc0")
-
 _COMPILED = tuple((re.compile(pattern), name) for pattern, name in SENTENCES)
 #: What any known sentence is at its start.
 _ANY = re.compile("|".join(f"(?:{pattern})" for pattern, _ in SENTENCES))
@@ -174,7 +171,7 @@ def scan_licences(documents: DataFrame) -> DataFrame:
     def kernel(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         licences, names, spans = [], [], []
         for raw in text_bytes(batch.column("text")):
-            known = known_sentences(raw.decode("utf-8", "replace")) if CUES.search(raw) else []
+            known = known_sentences(raw.decode("utf-8", "replace"))
             matched = match_rules([name for name, _, _ in known])
             licences.append([licence for licence, _, _ in matched])
             names.append([name for name, _, _ in known])

@@ -177,6 +177,19 @@ def test_official_gpl_headers():
             assert match_rules(names) == [(f"GPL-{version}.0-or-later", 0, 4)]
 
 
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("Released under CC BY 4.0.", "cc-by-grant"), ("This work is made available under CC BY 4.0.", "cc-by-grant"), ("Available under CC-BY-4.0.", "cc-by-grant"),
+        ("Released under CC BY-SA 4.0.", "cc-by-sa-grant"), ("Released under CC BY-NC 4.0.", "cc-by-nc-grant"), ("Released under CC 0.", "public-domain"), ("Under CC 0.", "public-domain"),
+        ('# THE SOFTWARE\n# IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE\n# WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.', "mit-as-is"),
+    ],
+)
+def test_known_sentences_need_no_cue(spark, text, name):
+    got = scan_licences(spark.createDataFrame([(1, "Some words here. " + text if text[0] != "#" else text)], "doc_id long, text string")).first()
+    assert got.sentences == [name]
+
+
 def test_rules_are_ordered():
     grant = ["apache-2.0-grant", "apache-compliance", "apache-copy-at", "apache-as-is", "apache-see"]
     assert match_rules(["mit-notice", *grant, "mit-grant"]) == [("Apache-2.0", 1, 6), ("MIT", 6, 7)]
