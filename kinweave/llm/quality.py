@@ -14,6 +14,7 @@ left alone. Texts of any length are judged whole.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -73,7 +74,7 @@ def line_verdict(line: bytes, words: list[bytes], rules: QualityRules) -> str:
         capitals, small = len(line.translate(None, _CAPITALS)), len(line.translate(None, _SMALL))
         if capitals > rules.max_capitals * (capitals + small):
             return "punctuation"
-    if n >= 10 and max(map(words.count, words[:: max(1, n // 4)])) > rules.max_one_word * n:
+    if n >= 10 and max(Counter(words).values()) > rules.max_one_word * n:
         return "boilerplate"
     if n >= 8 and sum(map(eq, words, words[1:])) > rules.max_doubled * n:
         return "boilerplate"

@@ -14,7 +14,7 @@ from kinweave.llm import secrets
 from kinweave.llm.benchmark_leaks import find_leaks, without_leaks
 from kinweave.llm.licences import known_sentences, match_rules, op2_licences, scan_licences
 from kinweave.llm.mixing import mix_sources
-from kinweave.llm.quality import keep_good, op8_quality
+from kinweave.llm.quality import QualityRules, keep_good, line_verdict, op8_quality
 from kinweave.llm.secrets import op5_secrets
 from tests.llm.test_pipeline import brute_mix
 
@@ -67,6 +67,16 @@ def test_quality_keeps_prose_and_rejects_junk(spark):
     assert [r.doc_id for r in keep_good(df).collect()] == [0]
 
 
+def test_one_word_over_and_over_wherever_it_stands():
+    # "buy" is 13 of 24 words, and no word at a fourth of the line is it.
+    words = [b"w%d" % k for k in range(24)]
+    for k in (1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 13, 14, 15):
+        words[k] = b"buy"
+    assert line_verdict(b" ".join(words), words, QualityRules()) == "boilerplate"
+    words[1] = words[2] = b"other"
+    assert line_verdict(b" ".join(words), words, QualityRules()) == ""
+
+
 def entropy(text):
     n = Counter(text)
     return -sum(c / len(text) * math.log2(c / len(text)) for c in n.values())
