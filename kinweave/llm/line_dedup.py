@@ -2,24 +2,25 @@
 
 Lines are the \\n-split parts of a text without white space at both ends; lines of fewer than ``min_chars``
 code points, by default the blank ones, are left alone. A line is removed when an earlier line, by (doc_id,
-line number), equals it or, where both have ``near_chars`` code points or more, lies within ``max_edits``
+row, line number), equals it or, where both have ``near_chars`` code points or more, lies within ``max_edits``
 (0 or 1) insertions, deletions or substitutions of a code point. All is judged on the input, so of a chain
 a, b, c with a-b and b-c in reach only a stays.
 
 1. Every line gets a 128-bit hash; equal lines are brought together and only the earliest goes on.
-2. Two lines in reach share their first or their last half, cut at the shorter one's length. Each line
-   gives four keys (first and last half, cut for its own length and for one less). Keys that one line has
-   alone are dropped, and so are lines without a key left. This loses no pair.
-3. The rest emit their deletion variants as hashed keys: each line without one code point, in the half
-   that the shared key leaves open, keyed with the place (substitutions) or without it (insertions, where
+2. A line is cut into SEGMENTS parts. Two lines in reach agree in all but one, cut for the shorter one's
+   length. Each line gives a key for each part that may differ: the joint hash of what stands before and
+   behind it, once cut for its own length and once for one less. Keys that one line has alone are dropped,
+   and so are lines without a key left. This loses no pair.
+3. The rest emit their deletion variants as hashed keys: each line without one code point, in the parts
+   that the shared keys leave open, keyed with the place (substitutions) or without it (insertions, where
    the shorter line is its own variant). Per variant key and kind only the earliest line is aggregated,
    so a key with a third of all rows is a partial minimum, and no pairs are formed.
 4. A line whose variant group has an earlier line is verified against that one by edit distance.
 
-Defined cases: a null text has one empty line; rows with the same doc_id stand at the same places and
-don't remove each other's line of the same number; a null doc_id comes after all others; an empty table
-gives an empty result; other columns are kept by ``dedup_lines`` and ignored by ``line_removals``. Lines
-of any length are treated whole.
+Defined cases: a null text has one empty line; rows go by a hash of all their columns, so rows that share a
+doc_id are told apart, and those that are equal in every column stand at the same places and don't remove
+each other's lines; a null doc_id comes after all others; an empty table gives an empty result; other columns
+are kept by ``dedup_lines`` and ignored by ``line_removals``. Lines of any length are treated whole.
 """
 
 from __future__ import annotations
@@ -31,11 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.shared import arrow_map, mix, powers, table, text_bytes, written
+from kinweave.llm.shared import arrow_map, forget, mix, powers, row_keys, table, text_bytes, written
 
 MIN_CHARS = 1
 #: From here on lines one edit apart are joined; in shorter ones an edit makes another word or number ("cat", "car").
 NEAR_CHARS = 6
+#: Parts of a line of which one may differ.
+SEGMENTS = 4
+#: Keys under which lines may be shared: broadcast up to so many, which is checked, and shuffled beyond.
+BROADCAST_KEYS = 1_000_000
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _INVERSES = tuple(pow(base, -1, 2**64) for base in _BASES)
 #: Rows of one Arrow batch that the kernels give out at most.
@@ -77,26 +82,31 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _key(hashes: np.ndarray, side: int, length: np.ndarray) -> np.ndarray:
-    return _signed(mix(hashes + length.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + np.uint64(side)))
+def cuts(size: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the part of a line of that size begins and ends."""
+    return size * part // SEGMENTS, size * (part + 1) // SEGMENTS
+
+
+def _joint(hasher: _Hasher, starts: np.ndarray, ends: np.ndarray, part: int, longer: int) -> np.ndarray:
+    """The hash of a line but for one part; longer: 1 for the part of a line that has one code point less."""
+    size = ends - starts - longer
+    low, high = cuts(size, part)
+    head, tail = hasher(starts, starts + low), hasher(ends - (size - high), ends)
+    return _signed(mix(mix(head ^ np.uint64(part + 1)) + tail + size.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)))
 
 
 def _line_rows(texts: list[bytes], min_chars: int) -> dict[str, np.ndarray]:
     """For each text a row with line -1 and size its number of lines; a row for each line that takes part."""
-    out: dict[str, list[np.ndarray]] = {k: [] for k in ("row", "line", "size", "h1", "h2", "p0", "p1", "s0", "s1")}
+    out: dict[str, list[np.ndarray]] = {k: [] for k in ("row", "line", "size", "h1", "h2", *_KEYS)}
     for row, text in enumerate(texts):
         codes = _codes(text)
         starts, ends = line_bounds(codes)
         n_lines = len(starts)
         lines = np.flatnonzero(ends - starts >= max(1, min_chars))
         starts, ends = starts[lines], ends[lines]
-        size, one, two = ends - starts, _Hasher(codes, 0), _Hasher(codes, 1)
-        cut0, cut1 = size // 2, (size - 1) // 2
-        got = {
-            "line": lines, "size": size, "h1": _signed(one(starts, ends)), "h2": _signed(two(starts, ends)),
-            "p0": _key(one(starts, starts + cut0), 1, size), "p1": _key(one(starts, starts + cut1), 1, size - 1),
-            "s0": _key(one(ends - (size - cut0), ends), 2, size), "s1": _key(one(ends - (size - 1 - cut1), ends), 2, size - 1),
-        }
+        one, two = _Hasher(codes, 0), _Hasher(codes, 1)
+        got = {"line": lines, "size": ends - starts, "h1": _signed(one(starts, ends)), "h2": _signed(two(starts, ends))}
+        got |= {f"k{longer}{part}": _joint(one, starts, ends, part, longer) for longer in (0, 1) for part in range(SEGMENTS)}
         head = {k: np.zeros(1, dtype=np.int64) for k in got} | {"line": np.array([-1]), "size": np.array([n_lines])}
         for k in got:
             out[k] += [head[k], got[k]]
@@ -104,8 +114,15 @@ def _line_rows(texts: list[bytes], min_chars: int) -> dict[str, np.ndarray]:
     return {k: np.concatenate(v).astype(np.int64) if v else np.zeros(0, dtype=np.int64) for k, v in out.items()}
 
 
-_PLACE = "struct<last:boolean,doc_id:long,line:int>"
-_HASHES = ("h1", "h2", "p0", "p1", "s0", "s1")
+_PLACE = "struct<last:boolean,doc_id:long,mark:long,line:int>"
+_PLACE_TYPE = pa.struct([("last", pa.bool_()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("line", pa.int32())])
+#: k0: the line's own parts, k1: those of a line with one code point less.
+_KEYS = tuple(f"k{longer}{part}" for longer in (0, 1) for part in range(SEGMENTS))
+_HASHES = ("h1", "h2", *_KEYS)
+
+
+def _rows(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_keys(documents)[0].alias("mark"), F.col("text").cast("string").alias("text"))
 
 
 def _hash_lines(documents: DataFrame, min_chars: int) -> DataFrame:
@@ -113,12 +130,13 @@ def _hash_lines(documents: DataFrame, min_chars: int) -> DataFrame:
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
             rows = _line_rows(list(text_bytes(part.column("text"))), min_chars)
-            ids = part.column("doc_id").take(pa.array(rows["row"]))
+            of = pa.array(rows["row"])
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(rows["line"], pa.int32()), pa.array(rows["size"], pa.int32()), *(pa.array(rows[k]) for k in _HASHES)], names=["doc_id", "line", "size", *_HASHES]
+                [part.column("doc_id").take(of), part.column("mark").take(of), pa.array(rows["line"], pa.int32()), pa.array(rows["size"], pa.int32()), *(pa.array(rows[k]) for k in _HASHES)],
+                names=["doc_id", "mark", "line", "size", *_HASHES],
             )
 
-    return arrow_map(documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), kernel, "doc_id long, line int, size int, " + ", ".join(f"{k} long" for k in _HASHES))
+    return arrow_map(_rows(documents), kernel, "doc_id long, mark long, line int, size int, " + ", ".join(f"{k} long" for k in _HASHES))
 
 
 def deletion_variants(line: str, first: int, last: int) -> np.ndarray:
@@ -140,19 +158,22 @@ def whole_hash(line: str) -> int:
 def _variant_rows(line: str, flags: int) -> list[tuple[int, np.ndarray]]:
     """(kind, variant keys) of one line: kind 0 substitutions, 1 variants of a longer line, 2 a shorter line itself.
 
-    Flags: for the first half shared, 1 with a line as long, 2 with a longer, 4 with a shorter one; times 8 for the last half.
+    Flags, three bits for each part: all else is shared 1 with a line as long, 2 with a longer, 4 with a shorter one.
     """
-    n, out = len(line), []
-    for side, bits in ((1, flags & 7), (2, flags >> 3)):
+    n, same, longer, shorter = len(line), [], [], False
+    for part in range(SEGMENTS):
+        bits = flags >> 3 * part & 7
         if bits & 1:
-            first, last = (n // 2, n) if side == 1 else (0, n // 2)
-            places = np.arange(first, last).astype(np.uint64)
-            out.append((0, mix(deletion_variants(line, first, last) ^ mix(places + np.uint64(1 << 40)))))
+            low, high = cuts(n, part)
+            same.append(mix(deletion_variants(line, low, high) ^ mix(np.arange(low, high).astype(np.uint64) + np.uint64(1 << 40))))
         if bits & 4:
-            cut = (n - 1) // 2
-            first, last = (cut, n) if side == 1 else (0, cut + 1)
-            out.append((1, np.unique(deletion_variants(line, first, last))))
-    if (flags & 7 | flags >> 3) & 2:
+            low, high = cuts(n - 1, part)
+            longer.append(deletion_variants(line, low, high + 1))
+        shorter |= bool(bits & 2)
+    out = [(0, np.concatenate(same))] if same else []
+    if longer:
+        out.append((1, np.unique(np.concatenate(longer))))
+    if shorter:
         out.append((2, np.array([whole_hash(line)], dtype=np.uint64)))
     return out
 
@@ -183,27 +204,32 @@ def _emit_variants(survivors: DataFrame) -> DataFrame:
 
 
 def line_removals(documents: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, line) of every line to remove, and (doc_id, n_lines) of every document."""
+    """(doc_id, mark, line) of every line to remove, and (doc_id, mark, n_lines) of every row; mark: a hash of the row."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits: 0 or 1")
     every = written(_hash_lines(documents, min_chars), "lines")
-    sizes = every.where("line = -1").groupBy("doc_id").agg(F.max("size").alias("n_lines"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
+    sizes = written(every.where("line = -1").select("doc_id", "mark", F.col("size").alias("n_lines")), "line-counts")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "line")
     lines = every.where("line >= 0").withColumn("place", place)
-    distinct = written(lines.groupBy("h1", "h2", "size").agg(F.min("place").alias("first"), *[F.first(k).alias(k) for k in _HASHES[2:]]), "lines-distinct")
-    again = lines.select("h1", "h2", "size", "place").join(distinct.select("h1", "h2", "size", "first"), ["h1", "h2", "size"]).where("place > first").select("place.doc_id", "place.line")
+    distinct = written(lines.groupBy("h1", "h2", "size").agg(F.min("place").alias("first"), *[F.first(k).alias(k) for k in _KEYS]), "lines-distinct")
+    again = lines.select("h1", "h2", "size", "place").join(distinct.select("h1", "h2", "size", "first"), ["h1", "h2", "size"]).where("place > first").select("place.doc_id", "place.mark", "place.line")
+    again = written(again.distinct(), "lines-again")
+    forget(every)
     if max_edits == 0:
-        return again.distinct(), sizes
+        return again, sizes
 
-    # Which of its four keys a line shares, and with what: as long (1), longer (2), shorter (4); the last half's times 8.
-    sides = (("p0", 1, 0), ("p1", 1, 1), ("s0", 8, 0), ("s1", 8, 1))
-    keys = distinct.where(F.col("size") >= near_chars).select("h1", F.explode(F.array(*[F.struct(F.col(k).alias("key"), F.lit(side * 2 + less).alias("kind")) for k, side, less in sides])).alias("k")).select("h1", "k.*")
+    # Which of its keys a line shares, and with what: as long (1), longer (2), shorter (4), shifted by the part.
+    kinds = [F.struct(F.col(k).alias("key"), F.lit(2 * int(k[2:]) + int(k[1])).alias("kind")) for k in _KEYS]
+    keys = distinct.where(F.col("size") >= near_chars).select("h1", F.explode(F.array(*kinds)).alias("k")).select("h1", "k.*")
     less = F.col("kind") % 2
-    ends = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(less).alias("n_long")).where("n > 1")
+    # A key that only longer lines have joins none: two of them need not be in reach of each other.
+    ends = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(less).alias("n_long")).where("n > 1 and n > n_long")
     ends = written(ends, "line-shared-keys")
+    if ends.count() <= BROADCAST_KEYS:
+        ends = F.broadcast(ends)
     n_short = F.col("n") - F.col("n_long")
     bits = F.when(less == 0, F.when(n_short > 1, 1).otherwise(0) + F.when(F.col("n_long") > 0, 2).otherwise(0)).otherwise(F.when(n_short > 0, 4).otherwise(0))
-    shared = keys.join(ends, "key").select("h1", (bits * F.floor(F.col("kind") / 2)).alias("bits")).where("bits > 0")
+    shared = keys.join(ends, "key").select("h1", (bits * F.pow(F.lit(8), F.floor(F.col("kind") / 2))).cast("int").alias("bits")).where("bits > 0")
     flags = shared.groupBy("h1").agg(F.bit_or("bits").alias("flags"))
     # Two lines with the same first hash would share their flags, which only makes more variants.
     survivors = distinct.join(flags, "h1").select("h1", "h2", "size", "first", "flags")
@@ -221,18 +247,17 @@ def line_removals(documents: DataFrame, max_edits: int = 1, min_chars: int = MIN
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([w["h1"] for w, _ in good], pa.int64()), pa.array([w["h2"] for w, _ in good], pa.int64()), pa.array([w["flags"] for w, _ in good], pa.int32()),
-                        pa.array([w["first"] for w, _ in good], pa.struct([("last", pa.bool_()), ("doc_id", pa.int64()), ("line", pa.int32())])), pa.array([c for _, c in good], pa.string()),
+                        pa.array([w["first"] for w, _ in good], _PLACE_TYPE), pa.array([c for _, c in good], pa.string()),
                     ],
                     names=["h1", "h2", "flags", "first", "content"],
                 )
 
-    per_document = survivors.groupBy(F.col("first.doc_id").alias("of")).agg(F.collect_list(F.struct("h1", "h2", "flags", "size", "first")).alias("wanted"))
-    texts = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    fetched = texts.join(per_document, texts.doc_id.eqNullSafe(per_document["of"])).select("text", "wanted")
-    survivors = written(arrow_map(fetched, cut_out, f"h1 long, h2 long, flags int, first {_PLACE}, content string"), "lines-survivors").dropDuplicates(["h1", "h2"])
-
-    variants = _emit_variants(survivors)
-    variants = written(variants, "line-variants")
+    per_document = survivors.groupBy(F.col("first.doc_id").alias("of"), F.col("first.mark").alias("of_mark")).agg(F.collect_list(F.struct("h1", "h2", "flags", "size", "first")).alias("wanted"))
+    texts = _rows(documents)
+    fetched = texts.join(per_document, texts["doc_id"].eqNullSafe(F.col("of")) & (texts["mark"] == F.col("of_mark"))).select("text", "wanted")
+    survivors = written(arrow_map(fetched, cut_out, f"h1 long, h2 long, flags int, first {_PLACE}, content string").dropDuplicates(["h1", "h2"]), "lines-survivors")
+    forget(distinct)
+    variants = written(_emit_variants(survivors), "line-variants")
     # Two longer lines that share a variant need not be in reach of each other, so they are held against shorter ones alone.
     firsts = variants.groupBy("variant").agg(*[F.min(F.when(F.col("kind") == kind, F.col("first"))).alias(name) for kind, name in enumerate(("same", "longer", "shorter"))], F.count(F.lit(1)).alias("n"))
     firsts = written(firsts.where("n > 1").drop("n").withColumnRenamed("variant", "key"), "line-firsts")
@@ -243,16 +268,19 @@ def line_removals(documents: DataFrame, max_edits: int = 1, min_chars: int = MIN
         pairs.join(text_of.withColumnRenamed("content", "a"), pairs["first"] == text_of["at"]).select("first", "earliest", "a")
         .join(text_of.withColumnRenamed("content", "b"), F.col("earliest") == F.col("at"))
         .where(F.levenshtein("a", "b", max_edits) >= 0)
-        .select("first.doc_id", "first.line")
+        .select("first.doc_id", "first.mark", "first.line")
     )
-    return written(again.unionByName(verified).distinct(), "line-removals"), sizes
+    out = written(again.unionByName(verified).distinct(), "line-removals")
+    forget(again, survivors, variants, firsts)
+    return out, sizes
 
 
 def dedup_lines(documents: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, drop_emptied: bool = True, near_chars: int = NEAR_CHARS) -> DataFrame:
     """The documents with all their columns, removed lines cut from the text; without those that lose all their words by it, unless told to keep them."""
     removals, _ = line_removals(documents, max_edits, min_chars, near_chars)
-    gone = removals.groupBy(F.col("doc_id").alias("_line_dedup_id")).agg(F.sort_array(F.collect_list("line")).alias("_line_dedup_gone"))
-    joined = documents.join(gone, documents["doc_id"].cast("long").eqNullSafe(gone["_line_dedup_id"]) & gone["_line_dedup_gone"].isNotNull(), "left")
+    gone = removals.groupBy(F.col("mark").alias("_line_dedup_mark")).agg(F.sort_array(F.collect_list("line")).alias("_line_dedup_gone"))
+    marked = documents.select("*", row_keys(documents)[0].alias("_line_dedup_of"))
+    joined = marked.join(gone, F.col("_line_dedup_of") == F.col("_line_dedup_mark"), "left")
     parts = F.col("_line_dedup_parts")
     joined = joined.withColumn("_line_dedup_parts", F.when(F.col("_line_dedup_gone").isNotNull(), F.split(F.col("text").cast("string"), "\n", -1)))
     places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_line_dedup_gone"))
@@ -261,11 +289,12 @@ def dedup_lines(documents: DataFrame, max_edits: int = 1, min_chars: int = MIN_C
     cut = joined.withColumn("text", text)
     if drop_emptied:
         cut = cut.where(F.col("_line_dedup_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return cut.select(*documents.columns)
+    return cut.select(*(f"`{c}`" for c in documents.columns))
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents."""
     removals, sizes = line_removals(table(spark, sf_dir, "documents"))
-    gone = removals.groupBy(F.col("doc_id").alias("gone_id")).agg(F.count(F.lit(1)).alias("n_removed"), F.array_join(F.sort_array(F.collect_list("line")).cast("array<string>"), ",").alias("removed_lines"))
-    joined = sizes.join(gone, sizes["doc_id"].eqNullSafe(gone["gone_id"]), "left")
+    gone = removals.groupBy(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).agg(F.count(F.lit(1)).alias("n_removed"), F.array_join(F.sort_array(F.collect_list("line")).cast("array<string>"), ",").alias("removed_lines"))
+    joined = sizes.join(gone, sizes["doc_id"].eqNullSafe(gone["gone_id"]) & (sizes["mark"] == gone["gone_mark"]), "left")
     return joined.select("doc_id", F.col("n_lines").cast("long"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))

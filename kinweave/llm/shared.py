@@ -10,8 +10,9 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from kinweave.packaging import ship_package
 
@@ -22,9 +23,11 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, local mode gets a temporary one; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = Path(tempfile.mkdtemp(prefix="kinweave-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -35,7 +38,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/kinweave/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kinweave_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that written() has made, once nothing reads them any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kinweave_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_keys(df: DataFrame) -> list[Column]:
+    """Two hashes of a whole row, 128 bits together; only rows that are equal in every column agree in both."""
+    whole = [F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return [F.xxhash64(*whole).alias("_row_1"), F.xxhash64(F.lit(20), *whole, F.lit(1)).alias("_row_2")]
 
 
 def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -134,7 +152,7 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def connected(spark: SparkSession, edges: DataFrame, name: str, max_rounds: int = 40) -> DataFrame:
+def connected(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
     """Components of an undirected graph (a, b): returns (id, component) with the smallest id, for each id that has an edge.
 
     Each round points every node at the smallest node among its neighbours and its own label, then at
@@ -143,7 +161,7 @@ def connected(spark: SparkSession, edges: DataFrame, name: str, max_rounds: int
     """
     both = written(edges.selectExpr("a as id", "b as other").unionByName(edges.selectExpr("b as id", "a as other")).distinct(), f"{name}-graph")
     labels = written(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("label")), f"{name}-labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("near"))
         hooked = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("new"))
         # A node's label may itself have found a smaller one: hand that on to all who carry the label.
@@ -152,11 +170,11 @@ def connected(spark: SparkSession, edges: DataFrame, name: str, max_rounds: int
         moved = (
             hooked.join(root, hooked.label == root.root, "left")
             .join(jump, "new", "left")
-            .select("id", "label", F.least("new", F.coalesce("down", "new"), F.coalesce("onward", "new")).alias("new"))
+            .select("id", F.least("new", F.coalesce("down", "new"), F.coalesce("onward", "new")).alias("label"), F.col("label").alias("old"))
         )
         moved = written(moved, f"{name}-round")
-        changed = moved.where("new < label").limit(1).count()
-        labels = moved.select("id", F.col("new").alias("label"))
-        if not changed:
+        forget(labels)
+        labels = moved
+        if moved.where("label < old").isEmpty():
+            forget(both)
             return labels.select("id", F.col("label").alias("component"))
-    raise RuntimeError("components did not settle")

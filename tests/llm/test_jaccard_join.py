@@ -82,3 +82,29 @@ def test_one_stays_and_empty_table(spark):
     df = spark.createDataFrame([(5, text, "a"), (2, text + " more", "b"), (9, "other words are here now", "c"), (None, None, "d")], "doc_id long, text string, p string")
     assert {r.p for r in one_of_each(df).collect()} == {"b", "c", "d"}
     assert jaccard_classes(df.limit(0)).count() == 0
+    assert one_of_each(df.limit(0)).count() == 0
+
+
+def test_one_stays_by_rows_not_by_ids(spark):
+    t, u = " ".join(f"t{i}" for i in range(30)), " ".join(f"u{i}" for i in range(30))
+    rows = [(5, t, "a"), (5, t, "a"), (3, u, "b"), (5, u + " x", "c"), (None, "null ids take part in this as well", "d"), (None, "null ids take part in this as well", "e"), (8, "", "f"), (8, "", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _rep string")
+    got = sorted((r.doc_id or -1, r._rep) for r in one_of_each(df).collect())
+    assert got[1:] == [(3, "b"), (5, "a"), (8, "f"), (8, "f")] and got[0][0] == -1 and len(got) == 5
+    assert one_of_each(df).columns == df.columns
+
+
+def test_large_group_of_near_copies(spark):
+    """Every copy has edits of its own, so most pairs do not link and classes are many."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for i in range(120):
+        now = list(base if i % 3 else base[:30] + base[:15] + base[45:])
+        for _ in range(rng.randrange(0, 6)):
+            now[rng.randrange(len(now))] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(now)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for n, percent in ((3, 90), (2, 70)):
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_classes(df, n, percent).collect()), key=str)
+        assert got == brute(rows, n, percent)

@@ -2,7 +2,9 @@
 
 import random
 
-from kinweave.llm.line_dedup import dedup_lines, line_removals
+import pytest
+
+from kinweave.llm.line_dedup import dedup_lines, line_removals, op1_lines
 
 
 def near(a, b):
@@ -47,7 +49,7 @@ def rows_of(seed, n=60):
 
 
 def test_removals_equal_brute_force(spark):
-    for seed, edits in ((1, 1), (2, 1), (3, 0)):
+    for seed, edits in ((1, 1), (2, 1), (3, 0), (4, 1)):
         rows = rows_of(seed)
         df = spark.createDataFrame(rows, "doc_id long, text string")
         removals, sizes = line_removals(df, edits, 6)
@@ -73,3 +75,27 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     removals, sizes = line_removals(df)
     assert removals.count() == 0 and sizes.count() == 0 and dedup_lines(df).count() == 0
+
+
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    rows = [(5, "a line that both rows have\nonly in the first one"), (5, "something else altogether\na line that both rows have\nonly in the second one"), (None, "a line that both rows have\nand null"), (None, "and nul")]
+    out = sorted(r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sum("a line that both rows have" in x for x in out) == 1
+    assert sum("only in the" in x for x in out) == 2 and sum("something else" in x for x in out) == 1 and sum("and nul" in x for x in out) == 1
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    rows = [(i, t) for i, t in rows_of(9) if i is not None]
+    rows = list({i: (i, t) for i, t in rows}.values())
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    gone = brute(rows, 1, 6) | brute(rows, 0, 1)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.removed_lines) for r in op1_lines(spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        lines = sorted(n for d, n in gone if d == i)
+        assert got[i] == (len((text or "").split("\n")), len(lines), ",".join(map(str, lines)))
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None)], [(1, None), (1, "")]])
+def test_nothing_to_remove(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert line_removals(df)[0].count() == 0 and dedup_lines(df).count() == len(rows)
