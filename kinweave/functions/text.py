@@ -85,11 +85,11 @@ def clean_company_name(c: Column) -> Column:
 
 
 def remove_legal_suffixes(c: Column, forms: list[str]) -> Column:
-    """Strip listed suffixes after a space from the end, as many as there are; a name that is one becomes empty."""
+    """Strip listed suffixes after a space from the end, as many as there are; a name of nothing else becomes empty."""
     if not forms:
         return c
     quoted = "|".join(r"\Q" + f.replace(r"\E", "") + r"\E" for f in sorted(set(forms), key=lambda f: (-len(f), f)))
-    return trim_controls(F.when(F.upper(c).isin([f.upper() for f in forms]), "").otherwise(F.regexp_replace(c, rf"(?iu)(\s+({quoted}))+\s*$", "")))
+    return trim_controls(F.when(F.upper(c).isin([f.upper() for f in forms]), "").otherwise(F.regexp_replace(c, rf"(?iu)((^|\s+)({quoted}))+\s*$", "")))
 
 
 def clean_and_strip_legal_form(c: Column, forms: list[str]) -> Column:

@@ -132,7 +132,8 @@ def match_city(name1: str | None, name2: str | None, aliases: Mapping[str, str],
     top = max(parts or 0.0, jaro)
     if top > LIMIT:
         return top
-    return CONTAINED_SCORE if len(short) > 3 and short in long else None
+    few, many = sorted((one, two), key=len)  # as they are spelled, not folded
+    return CONTAINED_SCORE if len(few) > 3 and few in many else None
 
 
 def city_score(a: Column, b: Column, aliases: Mapping[str, str] | None = None, titles: frozenset[str] = frozenset()) -> Column:

@@ -2,12 +2,13 @@
 
 The stages are DataFrame operations; only pairs that pass the prefilter reach Python. Distinct names are
 paired, and rows of equal names are brought back by a join, so a name that is there a million times is
-scored once. Foldings that are equal need no scoring (score 1.0) and are found in the JVM. Hot block keys are salted:
-the left side of the join is dealt out by a hash, the right side repeated for each salt.
+scored once. Foldings that are equal need no scoring (score 1.0) and are found in the JVM. Hot blocks are cut into groups, and
+each pair of groups is a key of its own in the join; what is left to score is dealt out evenly over the workers.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,8 +20,8 @@ from kinweave.functions.legal_forms import LegalForm, Rule
 from kinweave.operators.company import company_score
 from kinweave.packaging import ship_package
 
-#: Distinct names of a block from which its join is salted, and the names of one salt.
-HOT_BLOCK = 2000
+#: Names of a group, about: a block of more is cut, so that no key of the join makes more than the square of it.
+HOT_BLOCK = 500
 
 
 def with_ids(df: DataFrame, name_col: str, id_col: str | None) -> DataFrame:
@@ -51,11 +52,12 @@ def candidate_pairs(names: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
     """(id1, id2, name1, name2) with id1 < id2: pairs of one block that share a word or the beginning of one."""
     blocked = blocked_names(names)
     sizes = blocked.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    salts = sizes.select("key", F.ceil(F.col("n") / hot_block).cast("int").alias("salts"))
-    salted = blocked.join(salts, "key")
-    left = _sided(salted.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")), "1", ("id", "name", "key", "words", "salt"))
-    right = _sided(salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "2", ("id", "name", "key", "words", "salt"))
-    pair = (F.col("key1") == F.col("key2")) & (F.col("salt1") == F.col("salt2")) & (F.col("id1") < F.col("id2"))
+    cuts = sizes.select("key", F.ceil(F.col("n") / hot_block).cast("int").alias("groups"))
+    mine, every = F.pmod(F.xxhash64("id"), F.col("groups")).cast("int"), F.sequence(F.lit(0), F.col("groups") - 1)
+    grouped = blocked.join(cuts, "key").withColumn("mine", mine).withColumn("other", F.explode(every))
+    columns = ("id", "name", "key", "words", "mine", "other")
+    left, right = _sided(grouped, "1", columns), _sided(grouped, "2", columns)
+    pair = (F.col("key1") == F.col("key2")) & (F.col("mine1") == F.col("other2")) & (F.col("other1") == F.col("mine2")) & (F.col("id1") < F.col("id2"))
     return left.join(right, pair & text.share_word(F.col("words1"), F.col("words2"))).select("id1", "id2", "name1", "name2")
 
 
@@ -74,7 +76,10 @@ def fold_equal_pairs(names: DataFrame) -> DataFrame:
 
 def score_pairs(pairs: DataFrame, threshold: float = DUPLICATE_SCORE, rules: Sequence[Rule] = (), forms: dict[str, Sequence[LegalForm]] | None = None) -> DataFrame:
     """Pairs with a score over the threshold."""
-    ship_package(pairs.sparkSession)
+    spark = pairs.sparkSession
+    ship_package(spark)
+    # Pairs are small rows and dear to score: left to their size, all of them would come to one worker.
+    pairs = pairs.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     upper = lambda c: F.upper(text.trim_controls(F.col(c)))
     equal = (upper("name1") != "") & (upper("name2") != "") & text.equal_folded(upper("name1"), upper("name2"))
     known = pairs.withColumn("equal", F.coalesce(equal, F.lit(False)))
@@ -112,22 +117,28 @@ def find_duplicates(
     return different.unionByName(same.where(F.col("score") > threshold))
 
 
-def duplicate_clusters(matches: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(id, cluster) of the matched ids: connected pairs share the smallest id. An extension; labels spread by aggregation, not on the driver."""
+def duplicate_clusters(matches: DataFrame) -> DataFrame:
+    """(id, cluster) of the matched ids: connected pairs share the smallest id. An extension.
+
+    Each round a node takes the smallest label around it and then that one's label, which halves long chains;
+    it ends when no label moves. Labels are checkpointed in spark.checkpoint.dir, which a cluster must name.
+    """
     spark = matches.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinweave-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kinweave-"))
     edges = matches.selectExpr("id1 as id", "id2 as other").unionByName(matches.selectExpr("id2 as id", "id1 as other")).distinct().checkpoint()
     labels = edges.groupBy("id").agg(F.least("id", F.min("other")).alias("cluster")).checkpoint()
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("cluster").alias("near"))
-        step = labels.join(near, "id").select("id", F.least("cluster", "near").alias("cluster"), (F.col("near") < F.col("cluster")).alias("moved")).checkpoint()
+        hooked = labels.join(near, "id").select("id", F.col("cluster").alias("old"), F.least("cluster", "near").alias("new"))
+        onward = labels.select(F.col("id").alias("new"), F.col("cluster").alias("onward"))
+        step = hooked.join(onward, "new").select("id", F.least("new", "onward").alias("cluster"), "old").checkpoint()
         labels = step.select("id", "cluster")
-        if step.where("moved").isEmpty():
+        if step.where("cluster < old").isEmpty():
             return labels
-    raise RuntimeError("clusters did not settle")
 
 
 def score_column(name1: Column, name2: Column) -> Column:

@@ -292,11 +292,11 @@ def normalize_legal(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SUFFIX_LIST = sorted({s.upper() for s in readers.MORE_SUFFIXES} | {x.upper() for f in seeds.SEED_FORMS for x in f[1:3]}, key=lambda s: (-len(s), s))
 
 
-@query(f"SELECT s_suppkey, s_name AS bare, {_clean('''s_name || ', Ltd. (Berlin)' ''')} AS cleaned, upper(s_name) IN ('UG') AS is_form, 17 AS forms FROM supplier".replace("17", str(len(_SUFFIX_LIST))))
+@query(f"SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE s_name END AS bare, {_clean('''CASE WHEN s_suppkey % 5 = 0 THEN 'Ltd. UG' ELSE s_name || ', Ltd. (Berlin)' END''')} AS cleaned, upper(s_name) IN ('UG') AS is_form, 17 AS forms FROM supplier".replace("17", str(len(_SUFFIX_LIST))))
 def strip_legal_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = readers.suffix_set(spark, spark.createDataFrame(list(seeds.SEED_FORMS), readers.FORM_SCHEMA))
     listed = [r.form for r in forms.collect()]
-    name = F.concat(F.col("s_name"), F.lit(", Ltd. (Berlin)"))
+    name = F.expr("CASE WHEN s_suppkey % 5 = 0 THEN 'Ltd. UG' ELSE s_name || ', Ltd. (Berlin)' END")  # a name of forms alone has nothing left
     return _table(spark, sf_dir, "supplier").select(
         "s_suppkey", text.clean_and_strip_legal_form(name, listed).alias("bare"), text.clean_company_name(name).alias("cleaned"), F.upper("s_name").isin(listed).alias("is_form"), F.lit(len(listed)).alias("forms")
     )
@@ -305,15 +305,19 @@ def strip_legal_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALIASES = ", ".join(f"('{a.upper()}', '{b.upper()}')" for a, b in city.alias_map().items())
 
 
-@query(f"WITH alias(a, c) AS (VALUES {_ALIASES}) SELECT n_nationkey, n_name, coalesce(c, upper(n_name)) AS city FROM nation LEFT JOIN alias ON a = upper(n_name)")
+# Places of which some have an alias.
+_PLACES = "CASE n_nationkey % 4 WHEN 0 THEN 'München' WHEN 1 THEN 'köln' WHEN 2 THEN 'Nürnberg' ELSE n_name END"
+
+
+@query(f"WITH alias(a, c) AS (VALUES {_ALIASES}), n AS (SELECT n_nationkey, {_PLACES} AS n_name FROM nation) SELECT n_nationkey, n_name, coalesce(c, upper(n_name)) AS city FROM n LEFT JOIN alias ON a = upper(n_name)")
 def city_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.createDataFrame(list(city.alias_map().items()), "alias string, canonical string")
-    return city.join_city_aliases(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_name", table)
+    return city.join_city_aliases(_table(spark, sf_dir, "nation").select("n_nationkey", F.expr(_PLACES).alias("n_name")), "n_name", table)
 
 
-@query(f"SELECT n_nationkey, upper(trim(n_name)) AS city, {city.city_mapping_count()} AS aliases FROM nation")
+@query(f"WITH alias(a, c) AS (VALUES {_ALIASES}) SELECT n_nationkey, coalesce(c, upper(trim({_PLACES}))) AS city, {city.city_mapping_count()} AS aliases FROM nation LEFT JOIN alias ON a = upper(trim({_PLACES}))")
 def map_city(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "nation").select("n_nationkey", city.map_city(F.col("n_name")).alias("city"), F.lit(city.city_mapping_count()).alias("aliases"))
+    return _table(spark, sf_dir, "nation").select("n_nationkey", city.map_city(F.expr(_PLACES)).alias("city"), F.lit(city.city_mapping_count()).alias("aliases"))
 
 
 @query(f"SELECT conv_id, turn, role, {_upper('role')} IN ({_titles}) AS particle, {_upper(chr(39) + 'von' + chr(39))} IN ({_titles}) AS von FROM conversations")

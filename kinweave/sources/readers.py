@@ -72,7 +72,11 @@ def forms_from_table(table: DataFrame) -> dict[str, tuple[LegalForm, ...]]:
 
 
 def read_legal_forms(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FORM_SCHEMA).json(path, multiLine=True)
+    """Legal forms from a JSON array. A long name that is null in the file reads as the text "null", one that is absent as null."""
+    records = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("form"))
+    fields = {name: F.col("form")[name] for name in ("legal_form_id", "short_name", "long_name", "country")}
+    fields["long_name"] = F.when(F.map_contains_key("form", "long_name"), F.coalesce(fields["long_name"], F.lit("null")))
+    return records.select(*[value.alias(name) for name, value in fields.items()])
 
 
 def suffixes_of_forms(forms: DataFrame) -> DataFrame:

@@ -170,12 +170,18 @@ def test_legal_forms():
     assert legal_form_of("Nokiaoy", (), run_together) == "F" and name_without_form("Nokiaoy", (), run_together) == "nokia"
     agfa = make_forms([("A", "ag", None, "DE")])["DE"]
     assert name_without_form("agfa", (), agfa) == "fa"
+    # Case doesn't make a long name, nor does a missing one; a no-break space doesn't part words.
+    for long in ("OY", None):
+        assert legal_form_of("Nokiaoy", (), make_forms([("F", "Oy", long, "FI")])["FI"]) == "F"
+    assert legal_form_of("Nokiaoy", (), make_forms([("F", "Oy", "Osakeyhtiö", "FI")])["FI"]) is None
+    assert len(clean_words("foo\u00a0bar")) == 1 and clean_words(" foo\tbar ") == ["foo", "bar"]
 
 
 def test_city_rules():
     m = lambda a, b: city.match_city(a, b, city.alias_map())
     assert m("München", "Munich") == m("Frankfurt", "Frankfurt am Main") == m("Halle", "Halle (Saale)") == 0.99 and m("Köln", "KOELN") == 1.0
     assert m(None, "a") is None and m("", "a") is None and m("Rom", "Paris") is None
+    assert m("Koeln", "Neu-Oberköln Stadt") is None and m("Müll", "Obermuellhausen") is None and m("Köln", "Neu-Oberköln Stadt") == 0.7
     assert m("Bad Homburg", "Homburg Bad") == 1.0 and m("Neustadt Weinstrasse", "Neustatt Weinstrasse") > 0.9
     assert m("Xanten", "Xantenburg Nord") in (0.7, m("Xanten", "Xantenburg Nord"))
     assert city.initial_matches("F.", "Frankfurt") and city.initial_matches("Frankfurt", "F.") and not city.initial_matches("F", "Frankfurt")
@@ -210,9 +216,9 @@ def test_readers(spark, tmp_path):
 
 
 def test_suffixes(spark):
-    df = spark.createDataFrame([("Foo Ltd. UG",), ("ltd",), ("Foo",), ("FooLtd",), ("Foo e.K (x)",)], "n string")
+    df = spark.createDataFrame([("Foo Ltd. UG",), ("ltd",), ("Foo",), ("FooLtd",), ("Foo e.K (x)",), ("Ltd UG",)], "n string")
     got = [r.o for r in df.select(text.clean_and_strip_legal_form(F.col("n"), list(readers.MORE_SUFFIXES)).alias("o")).collect()]
-    assert got == ["Foo", "", "Foo", "FooLtd", "Foo"]
+    assert got == ["Foo", "", "Foo", "FooLtd", "Foo", ""]
 
 
 def test_clusters(spark):
