@@ -246,7 +246,7 @@ def features(page: Page) -> list[list[int]]:
         marks = 0 if b.text_chars < 20 else 1 + (b.marks * 120 >= b.text_chars)
         out.append(
             [
-                _INDEX[f"tag:{_TAG_GROUPS.get(b.tag, 'div')}"], *_name_features(b.names[:512]), _INDEX["own:0"] + _bucket(b.text_chars, _LENGTHS), _INDEX["all:0"] + _bucket(b.all_chars, _LENGTHS),
+                _INDEX[f"tag:{_TAG_GROUPS.get(b.tag, 'div')}"], *_name_features(b.names), _INDEX["own:0"] + _bucket(b.text_chars, _LENGTHS), _INDEX["all:0"] + _bucket(b.all_chars, _LENGTHS),
                 _INDEX["links:0"] + _bucket(b.all_links / max(1, b.all_chars), _DENSITY), _INDEX["share:0"] + _bucket(b.all_chars / whole, _SHARES), _INDEX["depth:0"] + _bucket(b.depth, (2, 4, 7)), _INDEX["marks:0"] + marks, _INDEX["bias"],
             ]
         )
