@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.shared import arrow_map, mix, prefix_sums, ship_package, substring_hashes, table, text_bytes, written
+from kinweave.llm.shared import arrow_map, forget, mix, prefix_sums, ship_package, substring_hashes, table, text_bytes, written
 
 LENGTH = 400
 ANCHOR = 128
@@ -287,18 +287,21 @@ def _sort_windows(blocks: DataFrame, length: int) -> DataFrame:
 
 def repeated_windows(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """(doc_id, mark, low, high): runs of window starts whose window stands elsewhere, too."""
-    anchors = written(_anchor_rows(texts, length, anchor), "suffix-anchors")
-    grams = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    anchors = written(anchors.join(grams, "gram"), "suffix-shared")
+    every = written(_anchor_rows(texts, length, anchor), "suffix-anchors")
+    # Counts are written before they are joined: both sides of the join are plain exchanges then, and Spark can split a hot anchor.
+    grams = written(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "suffix-grams")
+    anchors = written(every.join(grams, "gram"), "suffix-shared")
+    forget(every, grams)
     blocks = anchors.groupBy("gram", "block").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "mark", "first", "last", "anchor")).alias("place"))
     blocks = written(blocks, "suffix-blocks")
-    crowds = blocks.groupBy("gram").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    crowds = written(blocks.groupBy("gram").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1"), "suffix-crowds")
     # Blocks without another under their anchor need no sorting: they repeat if they have copies.
     met = blocks.join(crowds, "gram", "left").select("gram", "block", "copies", "place.*", F.coalesce("crowd", F.lit(1)).alias("crowd"))
     single = met.where("crowd = 1 and copies > 1").select("gram", "block", F.lit(0).alias("low"), (F.col("last") - F.col("first")).alias("high"))
     several = met.where("crowd > 1").withColumn("hot", F.col("crowd") > hot)
     found = _sort_windows(_cut_blocks(texts, several, length), length)
     runs = written(single.unionByName(found), "suffix-runs")
+    forget(blocks, crowds)
     placed = anchors.join(runs, ["gram", "block"])
     return placed.select("doc_id", "mark", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
 
