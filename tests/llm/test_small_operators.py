@@ -219,14 +219,19 @@ def test_leaks(spark, broadcast_rows):
         for _ in range(rng.choice([0, 0, 1, 2, 4])):
             item[rng.randrange(len(item))] = "zzz"
         docs.append((i, f"{text(rng.randrange(80))} {' '.join(item).upper()}, {text(rng.randrange(300))}" if i % 3 else text(100)))
-    docs += [(500, None), (501, ""), (1, docs[1][1]), (None, items[3][1])]
-    grams = lambda t: {tuple(w[i : i + 5]) for w in [re.split(r"[^a-z]+", (t or "").lower().strip(" ,"))] for i in range(len(w) - 4)}
-    want = {(i, k) for i, t in docs for k, item in items if grams(item) and len(grams(item) & grams(t)) >= 0.8 * len(grams(item)) and i is not None}
+    docs += [(500, None), (501, ""), (1, docs[1][1]), (None, items[3][1]), (502, "Four words are few."), (503, f"but four words, are FEW! {text(40)}"), (504, "four words are"), (0, "clean, of an id with a leak"), (505, "long " * 50000 + items[4][1])]
+    split = lambda t: [w for w in re.split(r"[^a-z]+", (t or "").lower()) if w]
+    cut = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    shared = lambda item, w: len(cut(item, min(5, len(item))) & cut(w, min(5, len(item)))) >= 0.8 * len(cut(item, min(5, len(item))))
+    hits = [(n, i, k) for n, (i, t) in enumerate(docs) for k, item in items if split(item) and shared(split(item), split(t))]
+    want = {(i, k) for _, i, k in hits}
+    assert {(502, 31), (503, 31), (None, 3), (505, 4)} <= want
     d = spark.createDataFrame([(*x, "q") for x in docs], "doc_id long, text string, item_id string")
     b = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id int")
     got = {(r.doc_id, r.item_id) for r in find_leaks(d, b, broadcast_rows=broadcast_rows).collect()}
     assert got == want and len(want) > 30
-    assert {r.doc_id for r in without_leaks(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+    clean = sorted(t or "" for n, (_, t) in enumerate(docs) if n not in {n for n, _, _ in hits})
+    assert sorted(r.text or "" for r in without_leaks(d, b).collect()) == clean and "clean, of an id with a leak" in clean
     assert find_leaks(d.limit(0), b).count() == 0 == find_leaks(d, b.limit(0)).count()
 
 
