@@ -4,7 +4,8 @@ A line fails when it is boilerplate (a fixed phrase, or an earlier line of the d
 (many short items between separators, or a long row of links) or badly punctuated (too many symbols, or
 shouting: mostly capitals with exclamation marks) or hardly says anything (one word over and over, or
 words doubled all along). Blank lines pass. A document is rejected when its base
-counts fail, or when the failing lines hold more than ``max_lost`` of its words.
+counts fail, or when the failing lines hold more than ``max_lost`` of its words; ``keep_good`` hands the
+others on without their failing lines.
 
 Defined cases: a null or blank text has no words and fails the base rule (fewer than 10 words); repeated
 rows are judged each for itself; an empty table gives an empty result; other columns of the input are
@@ -101,17 +102,19 @@ def repeated_words(hashes: np.ndarray, window: int = 5) -> int:
     return int((np.cumsum(steps[:-1]) > 0).sum())
 
 
-def judge(text: bytes, rules: QualityRules = QualityRules()) -> tuple[int, int, int, int, int, bool, bool, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_bad_lines, n_lost_words."""
+def judge(text: bytes, rules: QualityRules = QualityRules()) -> tuple[int, int, int, int, int, bool, bool, int, int, bytes]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_bad_lines, n_lost_words, and the text of the lines that pass."""
     words = text.split()
     n_words = len(words)
     word_chars = len(b"".join(words).translate(None, _CONTINUATION))
     n_symbols = len(text.translate(None, _OTHER_WORDS))
     seen: set[bytes] = set()
+    good: list[bytes] = []
     n_dup = n_bad = lost = 0
     for line in text.split(b"\n"):
         parts = line.split()
         if not parts:
+            good.append(line)
             continue
         again = line in seen
         seen.add(line)
@@ -119,10 +122,12 @@ def judge(text: bytes, rules: QualityRules = QualityRules()) -> tuple[int, int,
         if again or line_verdict(line, parts, rules):
             n_bad += 1
             lost += len(parts)
+        else:
+            good.append(line)
     n_repeat = repeated_words(word_hashes(text)) if n_words > 5 else 0
     base_failed = n_words < rules.min_words or 100 * n_repeat > rules.max_repeat_percent * n_words
     kept = not base_failed and lost <= rules.max_lost * n_words
-    return n_words, word_chars, n_symbols, n_dup, n_repeat, base_failed, kept, n_bad, lost
+    return n_words, word_chars, n_symbols, n_dup, n_repeat, base_failed, kept, n_bad, lost, b"\n".join(good)
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bad_lines", "n_lost_words")
@@ -142,14 +147,16 @@ def quality_verdicts(documents: DataFrame, rules: QualityRules = QualityRules())
 
 
 def keep_good(documents: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The documents that pass, with all their columns; one pass over the texts, without a join."""
-    ship = documents.schema
+    """The documents that pass, their failing lines removed, with all their columns; one pass over the texts, without a join."""
+    at = documents.columns.index("text")
 
     def kernel(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        column = batch.column("text").cast(pa.string())
-        yield batch.filter(pa.array([judge(text, rules)[6] for text in text_bytes(column)], type=pa.bool_()))
+        judged = [judge(text, rules) for text in text_bytes(batch.column(at).cast(pa.string()))]
+        kind = batch.schema.field(at).type
+        cleaned = pa.array([row[-1] for row in judged], type=pa.binary()).cast(pa.string()).cast(kind)
+        yield batch.set_column(at, batch.schema.field(at), cleaned).filter(pa.array([row[6] for row in judged], type=pa.bool_()))
 
-    return arrow_map(documents, kernel, ship)
+    return arrow_map(documents, kernel, documents.schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,15 @@ def test_quality_keeps_prose_and_rejects_junk(spark):
     prose = "\n".join(" ".join(word() for _ in range(25)).capitalize() + "." for _ in range(6))
     junk = [" ".join(word() + "%%%" for _ in range(60)), " ".join(word().upper() + "!!" for _ in range(60)), " | ".join(word() for _ in range(60)), " ".join(w for _ in range(30) for w in [word()] * 2)]
     df = spark.createDataFrame([(0, prose + "\nWe use cookies on this site.")] + [(i + 1, t) for i, t in enumerate(junk)], "doc_id long, text string")
-    assert [r.doc_id for r in keep_good(df).collect()] == [0]
+    assert [(r.doc_id, r.text) for r in keep_good(df).collect()] == [(0, prose)]
+
+
+def test_failing_lines_go_and_others_stay_as_they_are(spark):
+    prose = [" ".join(f"w{k}{j}" for j in range(12)) + " é." for k in range(14)]
+    lines = [prose[0], "", "Home | News | About | Contact", "  " + prose[1], prose[0], prose[2], "%%% $$$ ### ***", "\t", prose[3], "Accept all cookies", *prose[4:], ""]
+    df = spark.createDataFrame([(7, "\n".join(lines), "a"), (None, "\n".join(prose), None), (8, None, "b")], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.source) for r in keep_good(df).collect()}
+    assert got == {7: ("\n".join([prose[0], "", "  " + prose[1], prose[2], "\t", *prose[3:], ""]), "a"), None: ("\n".join(prose), None)}
 
 
 def test_one_word_over_and_over_wherever_it_stands():
