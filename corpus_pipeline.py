@@ -12,7 +12,7 @@ from kinweave.llm.shared import forget, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, and the failing lines of the others."""
     return quality.keep_good(docs)
 
 
