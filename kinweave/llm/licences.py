@@ -50,13 +50,24 @@ SENTENCES = (
     (r"(?:this (?:work|software|file|program|code|project) is )?(?:licen[sc]ed|released|distributed|made available|available) under (?:a |the )?(?:terms of )?(?:the )?(?:cc|creative commons) (?:by nc sa|attribution non ?commercial share ?alike) (?:4 0|3 0)(?: international)?(?: licen[sc]e)?", "cc-by-nc-sa-grant"),
     (r"(?:this (?:work|software|file|program|code|project) is )?(?:licen[sc]ed|released|distributed|made available|available) under (?:a |the )?(?:terms of )?(?:the )?(?:cc|creative commons) (?:by sa|attribution share ?alike) (?:4 0|3 0)(?: international)?(?: licen[sc]e)?", "cc-by-sa-grant"),
     (r"(?:this (?:work|software|file|program|code|project) is )?(?:licen[sc]ed|released|distributed|made available|available) under (?:a |the )?(?:terms of )?(?:the )?(?:cc|creative commons) (?:by|attribution) (?:4 0|3 0)(?: international)?(?: licen[sc]e)?", "cc-by-grant"),
-    (r"(?:this work is )?(?:released |dedicated )?(?:in|into|to|under) (?:the public domain|(?:cc|creative commons) ?0(?: 1 0)?(?: universal)?)", "public-domain"),
+    (r"(?:this (?:work|software|file|program|code|project) is )?(?:released |dedicated |licen[sc]ed |made available |available )?(?:in|into|to|under) (?:the public domain|(?:cc|creative commons) ?0(?: 1 0)?(?: universal)?)", "public-domain"),
     (r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd-redistribution"),
     (r"(?:1 |)redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd-source"),
     (r"(?:2 |)redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "bsd-binary"),
     (r"(?:3 |)neither the name of .* nor the names of (?:its|any) contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-endorse"),
     (r"(?:this (?:work|software|file|program|code|project) is )?(?:licen[sc]ed|released|distributed|made available|available) under (?:the )?(?:terms of )?(?:the )?(?:new |modified |revised |3 clause |2 clause )?bsd(?: 3 clause| 2 clause)? licen[sc]e", "bsd-grant"),
     (r"(?:this (?:work|software|file|program|code|project) is )?(?:licen[sc]ed|released|distributed|made available|available|subject) (?:under|to) (?:the )?(?:terms of )?(?:the )?mozilla public licen[sc]e(?: version| v)? ?2 0", "mpl-2-grant"),
+    (r"(?:this (?:work|software|file|program|code|project) is )?(?:licen[sc]ed|released|distributed|made available|available) under (?:the )?(?:terms of )?(?:the )?isc licen[sc]e", "isc-grant"),
+    (r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "isc-permission"),
+    (r"the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", "isc-as-is"),
+    (r"this is free and unencumbered software released into the public domain", "unlicense-free"),
+    (r"anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "unlicense-anyone"),
+    (r"this software is provided as is without any express or implied warranty", "zlib-as-is"),
+    (r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", "zlib-permission"),
+    (r"(?:this (?:work|software|file|program|code|project) is )?(?:licen[sc]ed|released|distributed|made available|available) under (?:the )?(?:terms of )?(?:the )?zlib licen[sc]e", "zlib-grant"),
+    (r"(?:distributed |licen[sc]ed )?(?:under|subject to) the boost software licen[sc]e(?: version)? 1 0", "boost-grant"),
+    (r"(?:this (?:work|software|file|program|code|project) is )?(?:licen[sc]ed|released|distributed|made available|available) under (?:the )?(?:terms of )?(?:the )?eclipse public licen[sc]e(?: version| v)? ?(?:1 0|2 0)", "epl-grant"),
+    (r"(?:this (?:work|software|file|program|code|project) is )?(?:licen[sc]ed|released|distributed|made available|available) under (?:the )?(?:terms of )?(?:the )?artistic licen[sc]e(?: version)?(?: 2 0)?", "artistic-grant"),
     (r"(?:copyright )?(?:c |)(?:[0-9]{4} )?.{0,80}all rights reserved", "all-rights-reserved"),
 )
 # Rules in order; the first that fits at a place wins.
@@ -82,6 +93,16 @@ RULES = (
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("BSD", ("bsd-grant",)),
     ("MPL-2.0", ("mpl-2-grant",)),
+    ("ISC", ("isc-permission", "isc-as-is")),
+    ("ISC", ("isc-permission",)),
+    ("ISC", ("isc-grant",)),
+    ("Unlicense", ("unlicense-free", "unlicense-anyone")),
+    ("Unlicense", ("unlicense-free",)),
+    ("Zlib", ("zlib-as-is", "zlib-permission")),
+    ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("EPL", ("epl-grant",)),
+    ("Artistic-2.0", ("artistic-grant",)),
     ("Public-Domain", ("public-domain",)),
     ("Proprietary", ("all-rights-reserved",)),
 )

@@ -10,7 +10,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.llm import secrets
+from kinweave.llm import licences, secrets
 from kinweave.llm.benchmark_leaks import find_leaks, without_leaks
 from kinweave.llm.licences import known_sentences, match_rules, op2_licences, scan_licences
 from kinweave.llm.mixing import mix_sources
@@ -169,6 +169,59 @@ def test_licences(spark, tmp_path):
     assert scan_licences(df.limit(0)).count() == 0
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or
+as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+ZLIB = """// This software is provided 'as-is', without any express or implied warranty.
+//
+// Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter
+// it and redistribute it freely, subject to the following restrictions:"""
+
+
+def brute_licences(text):
+    """(licences, identifiers): each part, run of parts and line of a sentence against each known sentence, each rule at each place."""
+    flat = lambda t: " ".join(re.findall("[a-z0-9]+", t.lower()))
+    known = lambda t: next((name for pattern, name in licences.SENTENCES if re.fullmatch(pattern, flat(t))), None)
+    lines = [re.sub(r"^[ \t]*(?:/{2,}|/?\*+/?|#+|--|;;)[ \t]?", "", line) for line in text.split("\n")]
+    names = []
+    for sentence in re.split(r"(?<=[.!?])(?=\s)|\n[ \t]*(?=\n)", "\n".join(lines)):
+        parts, at = re.split(r"(?<=[;:])(?=\s)", sentence), 0
+        single = [known(part) for part in parts]
+        while at < len(parts):
+            free = next((k for k in range(at, len(parts)) if single[k]), len(parts))
+            run = next((k for k in range(at + 1, free + 1) if known(" ".join(parts[at:k]))), None) if flat(parts[at]) else None
+            if single[at]:
+                names.append(single[at])
+                run = at + 1
+            elif run:
+                names.append(known(" ".join(parts[at:run])))
+            elif "\n" in parts[at].strip():
+                names += [name for name in map(known, parts[at].split("\n")) if name]
+            at = run or at + 1
+    out, at = [], 0
+    while at < len(names):
+        licence, size = next(((licence, len(wanted)) for licence, wanted in licences.RULES if list(wanted) == names[at : at + len(wanted)]), (None, 1))
+        out += [licence] if licence else []
+        at += size
+    return ",".join(out), ",".join(names)
+
+
+def test_licence_query_equals_brute_force(spark, tmp_path):
+    df, rows = documents(spark)
+    more = [ISC, UNLICENSE, ZLIB, MIT, GPL.format(";", ";", 2, "."), "This work is licensed under CC0 1.0 Universal.", "Distributed under the Boost Software License, Version 1.0.", "Available under the Eclipse Public License 2.0."]
+    more = [(1000 + i, f"{before}{t}\n\nMore words: here; and there.", None, 0) for i, (t, before) in enumerate((t, b) for t in more for b in ("", "Some words. ", "A line\n"))]
+    got = {r.doc_id: (r.licences, r.sentences) for r in op2_licences(spark, saved(df.unionByName(spark.createDataFrame(more, df.schema)), tmp_path)).collect()}
+    every = {i: t for i, t, *_ in rows + more}
+    assert {i: got[i] for i in every if i != 3} == {i: brute_licences(t or "") for i, t in every.items() if i != 3}
+    assert [got[1000 + 3 * k][0] for k in range(8)] == ["ISC", "Unlicense", "Zlib", "MIT", "GPL-2.0-or-later", "Public-Domain", "BSL-1.0", "EPL"]
+
+
 GPL = """    This program is free software{0} you can redistribute it and/or modify
     it under the terms of the GNU General Public License as published by
     the Free Software Foundation{1} either version {2} of the License, or
