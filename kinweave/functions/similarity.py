@@ -50,6 +50,13 @@ def jaro_winkler(a: str, b: str, config: SimilarityConfig = DEFAULT) -> float:
 def edit_distance(a: str, b: str) -> int:
     if len(a) < len(b):
         a, b = b, a
+    # What both begin or end with costs no edit.
+    start, stop = 0, len(b)
+    while start < stop and a[start] == b[start]:
+        start += 1
+    while stop > start and a[stop - len(b) - 1] == b[stop - 1]:
+        stop -= 1
+    a, b = a[start : len(a) - len(b) + stop], b[start:stop]
     row = list(range(len(b) + 1))
     for i, ch in enumerate(a, 1):
         corner, row[0] = row[0], i

@@ -8,20 +8,24 @@ each pair of groups is a key of its own in the join; what is left to score is de
 
 from __future__ import annotations
 
+import functools
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinweave.config import DUPLICATE_SCORE
+from kinweave.config import DEFAULT_COUNTRY, DUPLICATE_SCORE
 from kinweave.functions import text
 from kinweave.functions.legal_forms import LegalForm, Rule
-from kinweave.operators.company import company_score
+from kinweave.operators.company import company_score, match_company_names
 from kinweave.packaging import ship_package
+from kinweave.plans.links import tile_links
 
 #: Names of a group, about: a block of more is cut, so that no key of the join makes more than the square of it.
 HOT_BLOCK = 500
+#: Names of a group, about, where pairs are counted in arrays and not made.
+TILE_GROUP = 2000
 
 
 def with_ids(df: DataFrame, name_col: str, id_col: str | None) -> DataFrame:
@@ -117,18 +121,61 @@ def find_duplicates(
     return different.unionByName(same.where(F.col("score") > threshold))
 
 
+def _name_checkpoints(spark: SparkSession) -> None:
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kinweave-"))
+
+
+def _verdict(name1: str, name2: str, threshold: float, rules: tuple[Rule, ...], forms: Sequence[LegalForm] | None) -> bool:
+    score = match_company_names(name1, name2, rules, forms)
+    return score is not None and score > threshold
+
+
+def duplicate_links(
+    df: DataFrame, name_col: str = "name", id_col: str | None = None, threshold: float = DUPLICATE_SCORE, rules: Sequence[Rule] = (), forms: dict[str, Sequence[LegalForm]] | None = None, group: int = TILE_GROUP,
+) -> DataFrame:
+    """(id, component_id, n_links), a row for each row: the links are the pairs of find_duplicates() in its blocked mode, which are not made.
+
+    component_id is the smallest id that links reach. Rows without a name, or with a blank one, link with nothing.
+    """
+    spark = df.sparkSession
+    _name_checkpoints(spark)
+    ship_package(spark)
+    rows = with_ids(df, name_col, id_col)
+    names = rows.where(F.col("name").isNotNull() & (text.trim_controls(F.col("name")) != "")).groupBy("name").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
+    names = names.withColumn("node", F.monotonically_increasing_id()).checkpoint()
+    blocked = blocked_names(names)
+    cuts = blocked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / group).cast("int").alias("groups"))
+    mine, every = F.pmod(F.xxhash64("node"), F.col("groups")).cast("int"), F.sequence(F.lit(0), F.col("groups") - 1)
+    dealt = blocked.join(cuts, "key").withColumn("mine", mine).withColumn("other", F.explode(every))
+    dealt = dealt.select("node", F.coalesce("id", F.lit(0)).alias("id"), "name", "words", "weight", "mine", "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    # Tiles are small and dear: left to their size, all of them would come to one worker.
+    parts = 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = tuple((forms or {}).get(DEFAULT_COUNTRY, ())) or None
+    rules = tuple(rules)
+    verdict = functools.partial(_verdict, threshold=threshold, rules=rules, forms=own)
+    relabel, what = not rules and not own, (threshold, rules, own)
+    found = dealt.repartition(parts, "key", "lo", "hi").groupBy("key", "lo", "hi").applyInArrow(lambda tile: tile_links(tile, verdict, relabel, what), "node long, other long, n long").checkpoint()
+    clusters = duplicate_clusters(found.where("other is not null").selectExpr("node as id1", "other as id2")).withColumnRenamed("id", "node")
+    counts = found.where("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
+    classed = names.join(clusters, "node", "left").withColumn("class", F.coalesce("cluster", "node"))
+    least = classed.groupBy("class").agg(F.min("id").alias("least"))
+    same = F.col("weight") - 1 if threshold < 1 else F.lit(0)
+    classed = classed.join(least, "class").join(counts, "node", "left").select(F.col("name").alias("of"), "least", (F.coalesce("n", F.lit(0)) + same).alias("n"))
+    joined = rows.join(classed, F.col("name") == F.col("of"), "left")
+    return joined.select("id", F.coalesce("least", "id").alias("component_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+
+
 def duplicate_clusters(matches: DataFrame) -> DataFrame:
     """(id, cluster) of the matched ids: connected pairs share the smallest id. An extension.
 
     Each round a node takes the smallest label around it and then that one's label, which halves long chains;
     it ends when no label moves. Labels are checkpointed in spark.checkpoint.dir, which a cluster must name.
     """
-    spark = matches.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kinweave-"))
+    _name_checkpoints(matches.sparkSession)
     edges = matches.selectExpr("id1 as id", "id2 as other").unionByName(matches.selectExpr("id2 as id", "id1 as other")).distinct().checkpoint()
     labels = edges.groupBy("id").agg(F.least("id", F.min("other")).alias("cluster")).checkpoint()
     while True:

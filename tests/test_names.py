@@ -13,7 +13,7 @@ from kinweave.functions.words import compare_by_words, compare_word, match_word_
 from kinweave.operators import city
 from kinweave.operators.company import abbreviates, cleaned, country_of, match_company_names, name_words, spells_initials, word_sequence_score
 from kinweave.packaging import ship_package
-from kinweave.plans import duplicates
+from kinweave.plans import duplicates, queries
 from kinweave.sources import readers, seeds
 from kinweave.streaming.incremental import match_stream, start_matching
 
@@ -243,3 +243,34 @@ def test_entry_imports_without_the_optional_part():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def _links_of(rows, pairs):
+    """(id, component_id, n_links) from the pairs, by brute force."""
+    label, n = {i: i for i, _ in rows}, dict.fromkeys((i for i, _ in rows), 0)
+    for a, b in pairs:
+        n[a] += 1
+        n[b] += 1
+    for _ in rows:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return {(i, label[i], n[i]) for i, _ in rows}
+
+
+def test_duplicate_links(spark):
+    names = ["Johnson & Johnson", "Johnson and Jonson", "PayPal Holdings", "PayPal Holding", "Müller 3 Werk", "Mueller 3 Werk", "3M", "Masco", None, " ", " ", "Acme", "Acme", "Acme"]
+    names += [f"Supplier#{k * 3:09d}" for k in (*range(30), 4, 4, 411, 41177)] + [f"Plant {k} no {97 - k}" for k in range(20)]
+    rows = [(900 - 7 * i, name) for i, name in enumerate(names)]
+    df = spark.createDataFrame(rows, "id long, name string")
+    pairs = [(r.id1, r.id2) for r in duplicates.find_duplicates(df, "name", "id").collect()]
+    want = _links_of(rows, pairs)
+    assert len(pairs) > 300 and {tuple(r) for r in duplicates.duplicate_links(df, "name", "id").collect()} == want
+    assert {tuple(r) for r in duplicates.duplicate_links(df.repartition(3), "name", "id", group=5).collect()} == want
+    assert duplicates.duplicate_links(df.limit(0), "name", "id").count() == 0
+
+
+def test_supplier_links_follow_the_rows(spark, tmp_path):
+    """30 copies of 40 names: the pairs of all rows are 719,400, the result has a row for each supplier and no step makes the pairs."""
+    spark.range(1200).selectExpr("id as s_suppkey", "format_string('Supplier#%09d', id % 40) as s_name").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = queries.QUERIES["duplicate_suppliers"](spark, str(tmp_path)).collect()
+    assert len(rows) == 1200 and {(r.component_id, r.n_links) for r in rows} == {(0, 1199)}
