@@ -95,25 +95,42 @@ def _joint(hasher: _Hasher, starts: np.ndarray, ends: np.ndarray, part: int, lon
     return _signed(mix(mix(head ^ np.uint64(part + 1)) + tail + size.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)))
 
 
+#: Code points that are hashed at once, about: texts are joined up to so many, a longer one goes alone.
+_AT_ONCE = 1 << 16
+
+
 def _line_rows(texts: list[bytes], min_chars: int) -> dict[str, np.ndarray]:
     """For each text a row with line -1 and size its number of lines; a row for each line that takes part."""
     out: dict[str, list[np.ndarray]] = {k: [] for k in ("row", "line", "size", "h1", "h2", *_KEYS)}
+    held, size = [], 0
     for row, text in enumerate(texts):
-        codes = _codes(text)
-        starts, ends = line_bounds(codes)
-        n_lines = len(starts)
-        lines = np.flatnonzero(ends - starts >= max(1, min_chars))
-        starts, ends = starts[lines], ends[lines]
-        one, two = _Hasher(codes, 0), _Hasher(codes, 1)
-        got = {"line": lines, "size": ends - starts, "h1": _signed(one(starts, ends)), "h2": _signed(two(starts, ends))}
-        got |= {f"k{longer}{part}": _joint(one, starts, ends, part, longer) for longer in (0, 1) for part in range(SEGMENTS)}
-        head = {k: np.zeros(1, dtype=np.int64) for k in got} | {"line": np.array([-1]), "size": np.array([n_lines])}
-        for k in got:
-            out[k] += [head[k], got[k]]
-        out["row"].append(np.full(len(lines) + 1, row))
+        held.append(text)
+        size += len(text)
+        if size >= _AT_ONCE or row + 1 == len(texts):
+            for k, v in _joined_rows(held, row + 1 - len(held), min_chars).items():
+                out[k].append(v)
+            held, size = [], 0
     return {k: np.concatenate(v).astype(np.int64) if v else np.zeros(0, dtype=np.int64) for k, v in out.items()}
 
 
+def _joined_rows(texts: list[bytes], first_row: int, min_chars: int) -> dict[str, np.ndarray]:
+    """_line_rows() of a few texts, which are numbered from first_row, as one array of code points."""
+    # A line feed never stands inside another code point, so the lines of the joined texts are those of each in turn.
+    codes = _codes(b"\n".join(texts))
+    starts, ends = line_bounds(codes)
+    n_lines = np.array([text.count(b"\n") + 1 for text in texts])
+    row = np.repeat(np.arange(len(texts)), n_lines)
+    line = np.arange(len(starts)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
+    lines = np.flatnonzero(ends - starts >= max(1, min_chars))
+    starts, ends = starts[lines], ends[lines]
+    one, two = _Hasher(codes, 0), _Hasher(codes, 1)
+    got = {"row": row[lines] + first_row, "line": line[lines], "size": ends - starts, "h1": _signed(one(starts, ends)), "h2": _signed(two(starts, ends))}
+    got |= {f"k{longer}{part}": _joint(one, starts, ends, part, longer) for longer in (0, 1) for part in range(SEGMENTS)}
+    heads = {k: np.zeros(len(texts), dtype=np.int64) for k in got}
+    heads |= {"row": np.arange(len(texts)) + first_row, "line": np.full(len(texts), -1), "size": n_lines}
+    return {k: np.concatenate((heads[k], got[k])) for k in got}
+
+
 _PLACE = "struct<last:boolean,doc_id:long,mark:long,line:int>"
 _PLACE_TYPE = pa.struct([("last", pa.bool_()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("line", pa.int32())])
 #: k0: the line's own parts, k1: those of a line with one code point less.

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from kinweave.llm import line_dedup
 from kinweave.llm.line_dedup import dedup_lines, line_removals, op1_lines
 
 
@@ -99,3 +100,15 @@ def test_query_equals_brute_force(spark, tmp_path):
 def test_nothing_to_remove(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert line_removals(df)[0].count() == 0 and dedup_lines(df).count() == len(rows)
+
+
+def test_texts_are_hashed_together(monkeypatch):
+    """Many texts take a few array steps, with the rows that each has alone."""
+    made = []
+    monkeypatch.setattr(line_dedup, "_Hasher", lambda *args, real=line_dedup._Hasher: made.append(1) or real(*args))
+    texts = [b"", b"\n", b" \t ", "é b\r\nc\x0bd\x85e\n".encode(), b"one line\n\n two \n", b"x" * 70_000, "ü\n".encode() * 30_000, *(b"text %d\nof lines" % k for k in range(300))]
+    together = line_dedup._line_rows(texts, 1)
+    assert len(made) <= 8
+    alone = [line_dedup._line_rows([t], 1) for t in texts]
+    rows = {(k, *r[1:]) for k, one in enumerate(alone) for r in zip(*(v.tolist() for v in one.values()), strict=True)}
+    assert rows == set(zip(*(v.tolist() for v in together.values()), strict=True)) and len(rows) == len(together["row"])
