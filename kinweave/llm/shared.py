@@ -152,14 +152,48 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+#: Distinct edges up to which one task finds the components by itself.
+SMALL_GRAPH = 200_000
+
+
+def components_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component) of a whole graph (a, b) in arrays: labels hook to the smallest around them, and jump to that one's, until none changes."""
+    parts = [(np.array(batch.column("a")), np.array(batch.column("b"))) for batch in batches if batch.num_rows]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        least, low = np.minimum(label[u], label[v]), label.copy()
+        for place in (u, v, label[u], label[v]):
+            np.minimum.at(low, place, least)
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    for start in range(0, len(ids), 100_000):
+        cut = slice(start, start + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[cut]), pa.array(ids[label[cut]])], names=["id", "component"])
+
+
 def connected(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
     """Components of an undirected graph (a, b): returns (id, component) with the smallest id, for each id that has an edge.
 
     Each round points every node at the smallest node among its neighbours and its own label, then at
     that one's label (hook and jump); both aggregate partially, so a hub doesn't land in one task.
-    The loop ends when no label changes.
+    The loop ends when no label changes. A small graph takes one task instead of the loop, whose stages each
+    cost the driver memory.
     """
+    edges = written(edges.selectExpr("least(a, b) a", "greatest(a, b) b").distinct(), f"{name}-edges")
+    if edges.count() <= SMALL_GRAPH:
+        ship_package(spark)
+        out = written(edges.coalesce(1).mapInArrow(components_of, "id long, component long"), f"{name}-components")
+        forget(edges)
+        return out
     both = written(edges.selectExpr("a as id", "b as other").unionByName(edges.selectExpr("b as id", "a as other")).distinct(), f"{name}-graph")
+    forget(edges)
     labels = written(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("label")), f"{name}-labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("near"))

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 
+from kinweave.llm import shared
 from kinweave.llm.jaccard_join import jaccard_classes, one_of_each
 
 DATA = Path("/root/testdata/sf0.001")
@@ -108,3 +109,19 @@ def test_large_group_of_near_copies(spark):
     for n, percent in ((3, 90), (2, 70)):
         got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_classes(df, n, percent).collect()), key=str)
         assert got == brute(rows, n, percent)
+
+
+def test_components_of_small_and_large_graphs(spark, monkeypatch):
+    """A small graph is settled in one task, with three tables at most; the loop of a large one gives the same."""
+    rng = random.Random(5)
+    edges = [(rng.randrange(400) - 50, rng.randrange(400) - 50) for _ in range(170)] + [(k, k + 1) for k in range(1000, 1100)]
+    label = {i: i for edge in edges for i in edge}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    df, made = spark.createDataFrame(edges, "a long, b long"), []
+    monkeypatch.setattr(shared, "written", lambda df, name, real=shared.written: made.append(name) or real(df, name))
+    assert {tuple(r) for r in shared.connected(spark, df, "t").collect()} == set(label.items()) and len(made) <= 3
+    assert shared.connected(spark, df.limit(0), "t").count() == 0
+    monkeypatch.setattr(shared, "SMALL_GRAPH", 0)
+    assert {tuple(r) for r in shared.connected(spark, df, "t").collect()} == set(label.items())
