@@ -47,6 +47,8 @@ NEED = 3
 ROUNDS = 2
 #: Sets that one row group of a comparison holds against its pivot at most, about.
 CHUNK = 512
+#: Bits of the filter that keeps the texts no comparison asks for out of the shuffles; fixed, whatever the input.
+FILTER_BITS = 1 << 25
 
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
@@ -147,18 +149,38 @@ def _needed(n: Column, percent: int) -> Column:
     return F.least(F.lit(NEED), F.ceil(n * percent / 100))
 
 
-def _differences(texts: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+def _among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``key``, a hash, is one of the table ``wanted``, and few others, which share a bit of the filter with one: a join must follow."""
+    place = f"{key} & {FILTER_BITS - 1}L"
+    filled = wanted.groupBy(F.expr(f"shiftright({place}, 6)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({key} & 63L as int))")).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    bits[filled["word"].to_numpy()] = filled["bits"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def may_be(hashes: pa.Array) -> pa.Array:
+        at = _slots(hashes.to_numpy(zero_copy_only=False).view(np.uint64), FILTER_BITS)
+        return pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    ship_package(rows.sparkSession)
+    return rows.where(may_be(key))
+
+
+def _differences(documents: DataFrame, places: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """(x, p, nx, np, added, dropped) of the pairs (x, p, most) that differ in ``most`` shingles or fewer: x has the added ones over p and lacks the dropped ones.
 
-    The texts of each p's sets come to it in chunks, so a p with many of them is spread over tasks; a task holds one p at a time.
+    ``places`` has the row keys of each set's text. Texts are read from the documents, those of the pairs only: to shuffle all
+    of them takes more than all the rest. The texts of each p's sets come to it in chunks, so a p with many of them is spread
+    over tasks; a task holds one p at a time.
     """
     crowd = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("crowd"))
     dealt = pairs.join(crowd, "p").select("x", "p", "most", F.pmod(F.xxhash64("x"), F.ceil(F.col("crowd") / CHUNK)).cast("long").alias("chunk"))
     wanted = dealt.select(F.col("x").alias("rep"), "p", "chunk", "x", "most").unionByName(
         dealt.select("p", "chunk").distinct().select(F.col("p").alias("rep"), "p", "chunk", F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("most"))
     )
-    rows = texts.join(wanted, "rep").select("p", "chunk", "x", "most", "text")
-    ship_package(texts.sparkSession)
+    wanted = written(wanted.join(places.select("rep", "_row_1", "_row_2"), "rep").drop("rep"), "jaccard-wanted")
+    texts = documents.select(F.col("text").cast("string").alias("text"), *row_keys(documents))
+    rows = _among(texts, "_row_1", wanted).join(wanted, ["_row_1", "_row_2"]).select("p", "chunk", "x", "most", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def give(found: list[tuple]) -> pa.RecordBatch:
@@ -185,10 +207,14 @@ def _differences(texts: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
             yield give(found)
 
     dealt_out = rows.repartition("p", "chunk").sortWithinPartitions("p", "chunk", F.col("x").asc_nulls_first())
-    return dealt_out.mapInArrow(run, "x long, p long, nx int, np int, added array<long>, dropped array<long>")
+    found = dealt_out.mapInArrow(run, "x long, p long, nx int, np int, added array<long>, dropped array<long>")
+    # A row of the documents that is there twice gives its answers twice.
+    found = written(found.distinct(), "jaccard-differences")
+    forget(wanted)
+    return found
 
 
-def _homes(entries: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _homes(entries: DataFrame, documents: DataFrame, places: DataFrame, n: int, percent: int) -> DataFrame:
     """(x, p, nx, np, added, dropped, linked): each set's home, where it has one; a pivot without another home is its own."""
     homes, open_entries = None, entries
     for turn in range(ROUNDS):
@@ -202,7 +228,7 @@ def _homes(entries: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
         most = F.floor(2 * _bound(F.col("nx"), F.col("to.np"), percent) / (100 + percent))
         tries = written(nearest.select("x", "to.p", most.cast("long").alias("most")), "jaccard-tries")
         common = F.col("nx") - F.size("added")
-        tried = written(_differences(texts, tries, n).distinct().withColumn("linked", _linked(common, F.col("nx"), F.col("np"), percent)), "jaccard-homes")
+        tried = _differences(documents, places, tries, n).withColumn("linked", _linked(common, F.col("nx"), F.col("np"), percent))
         forget(lists, tries)
         none = F.array().cast("array<long>")
         pivots = tried.select("p", "np").distinct().join(tried.select(F.col("x").alias("p")), "p", "left_anti")
@@ -283,7 +309,7 @@ def _cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _answers_between(pairs: DataFrame, homes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _answers_between(pairs: DataFrame, homes: DataFrame, documents: DataFrame, places: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b): the pairs of _cross_pairs() that link. One side is answered through its home, which the other is held against once for all sets of that home."""
     c = F.col
     mine, swap = c("hx").isNotNull(), c("hx").isNull() & c("hy").isNotNull()
@@ -297,9 +323,10 @@ def _answers_between(pairs: DataFrame, homes: DataFrame, texts: DataFrame, n: in
     turned = written(turned, "jaccard-turned")
     most = F.floor((F.size("ax") + F.size("dx")) + _bound(c("nx"), c("ny"), percent) / (100 + percent))
     against = written(turned.groupBy(c("y").alias("x"), "p").agg(F.max(most).cast("long").alias("most")), "jaccard-against")
-    held = _differences(texts, against, n).distinct().select(c("x").alias("y"), "p", c("added").alias("ay"), c("dropped").alias("dy"))
+    differences = _differences(documents, places, against, n)
+    held = differences.select(c("x").alias("y"), "p", c("added").alias("ay"), c("dropped").alias("dy"))
     found = written(turned.join(held, ["y", "p"]).where(_through(percent)).select(c("x").alias("a"), c("y").alias("b")), "jaccard-cross-answers")
-    forget(turned, against)
+    forget(turned, against, differences)
     return found
 
 
@@ -324,10 +351,8 @@ def _classes(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
     enough = written(enough.join(reps.select("rep", F.size("prefix").alias("length"), "_row_1", "_row_2"), "rep"), "jaccard-enough")
     entries = written(met.join(enough.select("rep", "shared", "length"), "rep"), "jaccard-entries")
     forget(lists, met)
-    texts = documents.select(F.col("text").cast("string").alias("text"), *row_keys(documents))
-    texts = written(texts.join(enough, ["_row_1", "_row_2"]).select("rep", "text"), "jaccard-texts")
 
-    homes = _homes(entries, texts, n, percent)
+    homes = _homes(entries, documents, enough, n, percent)
     links = homes.where("linked and x <> p").selectExpr("x as a", "p as b")
     classes = connected(documents.sparkSession, links, "jaccard-classes")
     at_home = _answers_at_home(homes, classes, percent)
@@ -335,8 +360,8 @@ def _classes(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
     state = state.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "home", F.coalesce("component", "rep").alias("class"))
     placed = written(entries.select("rep", "n", "pos", "token").join(state, "rep"), "jaccard-placed")
     cross = _cross_pairs(placed, percent)
-    between = _answers_between(cross, homes, texts, n, percent)
-    forget(entries, texts, placed, cross, enough)
+    between = _answers_between(cross, homes, documents, enough, n, percent)
+    forget(entries, placed, cross, enough)
     # The second graph has classes as its nodes.
     of = classes.select(F.col("id"), "component")
     edges = at_home.unionByName(between)

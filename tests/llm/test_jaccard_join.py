@@ -125,3 +125,27 @@ def test_components_of_small_and_large_graphs(spark, monkeypatch):
     assert shared.connected(spark, df.limit(0), "t").count() == 0
     monkeypatch.setattr(shared, "SMALL_GRAPH", 0)
     assert {tuple(r) for r in shared.connected(spark, df, "t").collect()} == set(label.items())
+
+
+def test_texts_that_no_comparison_asks_for_are_not_shuffled(spark):
+    """Two of many long texts are near copies: what is shuffled stays under the size of the texts, also where no join is small enough for a broadcast."""
+    rng = random.Random(11)
+    words = [f"{rng.getrandbits(40):010x}" for _ in range(20_000)]
+    texts = [" ".join(rng.choice(words) for _ in range(3000)) for _ in range(200)]
+    rows = [*enumerate(texts), (200, texts[0] + " and"), (200, texts[0] + " and")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    context, broadcast = spark.sparkContext._jsc.sc(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty(30_000)
+        executors = context.statusStore().executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    before = shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard_classes(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert got == {i: 0 if i == 200 else i for i, _ in rows}
+    assert shuffled() - before < sum(len(text) for _, text in rows)
