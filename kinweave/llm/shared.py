@@ -112,13 +112,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_sums(buf: np.ndarray) -> np.ndarray:
-    """Running polynomial sums of a byte array; substring_hashes() needs them."""
-    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUES[buf] * powers(_BASE, len(buf)), out=sums[1:])
+def sequence_sums(values: np.ndarray) -> np.ndarray:
+    """Running polynomial sums of an array of 64-bit hashes; substring_hashes() needs them."""
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * powers(_BASE, len(values)), out=sums[1:])
     return sums
 
 
+def prefix_sums(buf: np.ndarray) -> np.ndarray:
+    """The same of a byte array."""
+    return sequence_sums(_BYTE_VALUES[buf])
+
+
 def substring_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of buf[start:end], equal for equal substrings wherever they stand."""
     n = len(sums)

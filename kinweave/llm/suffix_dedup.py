@@ -16,6 +16,9 @@ sorted, and exactly:
    so a passage in a third of all documents spreads over many tasks.
 4. The windows found are put back in place, merged into runs and cut out.
 
+Passages of over 50 words that another document has, too, are counted beside that, by shared_passages: most of 51
+words have fewer than ``length`` bytes, so they stay in the text.
+
 Defined cases: a null text is empty; rows with the same doc_id are documents of their own, told apart by
 their bytes, and a row that is there twice repeats itself; texts under ``length`` bytes lose nothing; an
 empty table gives an empty result; other columns of the input are ignored.
@@ -31,7 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.shared import arrow_map, forget, mix, prefix_sums, ship_package, substring_hashes, table, text_bytes, written
+from kinweave.llm.shared import arrow_map, forget, prefix_sums, ship_package, table, text_bytes, written
+from kinweave.llm.shared_passages import WORDS, shared_words
+from kinweave.llm.winnowing import block_hashes, runs_of_anchors
 
 LENGTH = 400
 ANCHOR = 128
@@ -43,28 +48,11 @@ SLICE = 16
 SORT_BYTES = 4 << 20
 
 
-def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every ``width`` neighbours of an array of distinct keys: prefix and suffix minima of blocks."""
-    n = len(keys)
-    pad = -n % width
-    blocks = np.concatenate((keys, np.full(pad, np.iinfo(np.uint64).max, dtype=np.uint64))).reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    count = n - width + 1
-    return np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
-
-
 def anchors_of(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
     """(anchor hash, block hash, first window, last window, anchor's place) of every anchor's run of windows."""
-    buf = np.frombuffer(text, dtype=np.uint8)
-    sums = prefix_sums(buf)
-    at = np.arange(len(buf) - anchor + 1)
-    grams = substring_hashes(sums, at, at + anchor)
-    keys = (grams & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
-    owner = (sliding_argmin(keys, length - anchor + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-    last = np.concatenate((first[1:], [len(owner)])) - 1
-    return grams[owner[first]], mix(substring_hashes(sums, first, last + length) ^ np.uint64(0xA0761D6478BD642F)), first, last, owner[first]
+    sums = prefix_sums(np.frombuffer(text, dtype=np.uint8))
+    grams, first, last, place = runs_of_anchors(sums, length, anchor)
+    return grams, block_hashes(sums, first, last, length), first, last, place
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -325,14 +313,22 @@ def cut_text(text: bytes, runs: list[tuple[int, int]], length: int) -> tuple[int
     return removed, spans, b"".join(kept)
 
 
-def dedup_substrings(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept (binary): what is left after the repeated bytes are cut out."""
+def dedup_substrings(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, words: int | None = None) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept (binary): what is left after the repeated bytes are cut out.
+
+    With ``words``, n_shared_words as well: the words in passages of that many words or more that another document has, too.
+    """
     if not 8 <= anchor < length:
         raise ValueError("anchor: from 8 to under length")
     texts = _texts(documents)
+    passages = shared_words(texts, words) if words else None
     runs = repeated_windows(texts, length, anchor, hot)
     per_document = runs.groupBy(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark")).agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    joined = texts.join(per_document, texts["doc_id"].eqNullSafe(F.col("of")) & (texts["mark"] == F.col("of_mark")), "left").select("doc_id", "text", "runs")
+    joined = texts.join(per_document, texts["doc_id"].eqNullSafe(F.col("of")) & (texts["mark"] == F.col("of_mark")), "left").select(texts["doc_id"], texts["mark"], "text", "runs", F.lit(0).cast("long").alias("n_shared_words"))
+    if passages is not None:
+        known = passages.select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark"), F.col("n_shared_words").alias("found"))
+        joined = joined.join(known, joined["doc_id"].eqNullSafe(F.col("of")) & (joined["mark"] == F.col("of_mark")), "left").withColumn("n_shared_words", F.coalesce("found", "n_shared_words"))
+    joined = joined.select("doc_id", "text", "runs", "n_shared_words")
 
     def kernel(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for start in range(0, batch.num_rows, 256):
@@ -340,13 +336,14 @@ def dedup_substrings(documents: DataFrame, length: int = LENGTH, anchor: int = A
             texts_, runs_ = part.column("text").to_pylist(), part.column("runs").to_pylist()
             cut = [cut_text(t, [(r["low"], r["high"]) for r in rs or ()], length) for t, rs in zip(texts_, runs_, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(t) for t in texts_], pa.int64()), pa.array([c[0] for c in cut], pa.int64()), pa.array([c[1] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+                [part.column("doc_id"), pa.array([len(t) for t in texts_], pa.int64()), pa.array([c[0] for c in cut], pa.int64()), pa.array([c[1] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.binary()), part.column("n_shared_words")],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_shared_words"],
             )
 
-    return arrow_map(joined, kernel, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = arrow_map(joined, kernel, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_shared_words long")
+    return out if words else out.drop("n_shared_words")
 
 
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = dedup_substrings(table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    cut = dedup_substrings(table(spark, sf_dir, "documents"), words=WORDS)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_shared_words")
